@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -113,8 +114,8 @@ class WordCache:
         return self._joined(cut, lambda w: w[2:] if w.startswith("\0 ") else " " + w)
 
     def bare(self, texts: list[str]) -> Iterator[bytes]:
-        """The encodings of a few texts where white space is dropped."""
-        return self._joined([text.replace("\n", " ").split(" ") for text in texts], lambda w: w)
+        """The encodings of a few texts where case and white space are dropped."""
+        return self._joined([(text if _PLAIN.search(text) else text.lower()).replace("\n", " ").split(" ") for text in texts], lambda w: w if _PLAIN.search(w) else w.lower())
 
     def _joined(self, cut: list[list[str]], whole: Callable[[str], str]) -> Iterator[bytes]:
         known = self.known
@@ -126,35 +127,70 @@ class WordCache:
             yield b"".join(map(known.__getitem__, words))
 
 
-def library_encoder(path: str, dtype: str = "<u4") -> Callable[[list[str]], list[bytes]]:
-    """Strings to ids (as bytes) by the tokenizers library, special strings being ordinary text."""
-    import os
+def _byte_chars() -> dict[int, str]:
+    """Byte to character as byte-level vocabularies write them: printable ones stay, others follow from 256 on."""
+    stay = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in set(stay)]
+    return {b: chr(b) for b in stay} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
-    import numpy as np
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    os.environ.setdefault("RAYON_NUM_THREADS", "1")
-    from tokenizers import Tokenizer
+#: Below these the library's normaliser does no more than str.lower().
+_PLAIN = re.compile("[^\0-\u012f]")
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
-    def encode(words: list[str]) -> list[bytes]:
-        found: list[bytes] = []
-        for at in range(0, len(words), 5000):
-            for e in tokenizer.encode_batch(words[at : at + 5000], add_special_tokens=False):
-                found.append(np.array(e.ids, dtype).tobytes())
-        return found
+class LibraryEncoder:
+    """Strings to ids (as bytes) by the tokenizers library, special strings being ordinary text.
+
+    A word of letters, and one with a full stop or comma behind it, needs no search for
+    pre-tokens: the library's model takes its parts directly. All else goes through the whole
+    library. Strings for a lower-casing vocabulary come lower-cased.
+    """
 
-    return encode
+    def __init__(self, path: str, keep: int = 300_000):
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ.setdefault("RAYON_NUM_THREADS", "1")
+        from tokenizers import Tokenizer
 
-_CACHES: dict[tuple, WordCache] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model, self.chars, self.keep = self.tokenizer.model, _byte_chars(), keep
+        self.words: dict[str, bytes] = {}
 
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            shown = word.encode().decode("latin-1").translate(self.chars)
+            found = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return found
 
-def word_cache(path: str, dtype: str = "<u4") -> WordCache:
+    def __call__(self, strings: list[str]) -> list[bytes]:
+        if len(self.words) > self.keep:
+            self.words.clear()
+        out: list[bytes | None] = []
+        rest: list[int] = []
+        for i, s in enumerate(strings):
+            bare = s[1:] if s[:1] == " " else s
+            if bare.isalpha() and not _PLAIN.search(bare):
+                out.append(self._word(s))
+            elif bare[-1:] in (".", ",") and bare[:-1].isalpha() and not _PLAIN.search(bare):
+                out.append(self._word(s[:-1]) + self._word(s[-1]))
+            else:
+                out.append(None)
+                rest.append(i)
+        for at in range(0, len(rest), 5000):
+            some = rest[at : at + 5000]
+            for i, e in zip(some, self.tokenizer.encode_batch([strings[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = array("I", e.ids).tobytes()
+        return out
+
+
+_CACHES: dict[str, WordCache] = {}
+
+
+def word_cache(path: str) -> WordCache:
     """The worker's cache for the tokenizer file at ``path``; it outlives single tasks."""
-    key = (path, dtype)
-    if key not in _CACHES:
-        _CACHES[key] = WordCache(library_encoder(path, dtype))
-    return _CACHES[key]
+    if path not in _CACHES:
+        _CACHES[path] = WordCache(LibraryEncoder(path))
+    return _CACHES[path]

@@ -33,7 +33,34 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm import secrets, spans
+
+    model = secrets.train(secrets.labelled_samples(spark))
+    found = secrets.scan(common.table(spark, sf_dir, "documents"), model)
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(spans.written(F.col("base")), 256).alias("base_sha256"), spans.written(F.concat("base", "random")).alias("spans"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm import quality
+
+    judged = quality.judge(common.table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm import chat
+
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    read = chat.read_back(chat.format_examples(rows))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_token_files, op4_packing)
+    f.__name__: f for f in (op1_byte_bpe, op2_secrets, op3_token_files, op4_packing, op5_quality, op10_chat)
 }
 SQL: dict[str, str] = {}

@@ -108,6 +108,9 @@ def decode_from(mark: int, n: int, states: np.ndarray, positions: np.ndarray, wo
         if k := int(np.count_nonzero(under)):
             x[under] = (x[under] << _32) | words[at : at + k]
             at += k
+    final = states[mark + 1] if mark + 1 < len(states) else _LOW
+    if not np.all(x == final):
+        raise ValueError("a block's words don't lead to its next checkpoint")
     return out.ravel()
 
 
