@@ -88,18 +88,31 @@ class Emitter:
 _UNSAFE_CUT = re.compile(r"\s (?:\s|\Z)")
 
 
+class _Known(dict):
+    """Encodings of words; a missing one is made on the first look-up, so each word is looked up once."""
+
+    def __init__(self, one: Callable[[str], bytes]):
+        self.one, self.whole = one, str
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.one(self.whole(word))
+        return found
+
+
 class WordCache:
     """Encodes texts word by word and remembers the words.
 
-    ``encode`` maps a list of strings to a list of encodings (bytes). A text is cut before
+    ``encode`` maps a list of strings to a list of encodings (bytes), or has a method ``one``
+    for a single string. A text is cut before
     spaces that start a new pre-token of the byte-level pattern, so the joined encodings are
     those of the whole text; where a cut isn't safe, the whole text is encoded at once. At
     most ``keep`` words are remembered, and those of the block at hand.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], keep: int = 400_000):
+    def __init__(self, encode, keep: int = 1_000_000):
         self.encode, self.keep = encode, keep
-        self.known: dict[str, bytes] = {}
+        self.one = getattr(encode, "one", None)
+        self.known: dict[str, bytes] = _Known(self.one) if self.one else {}
 
     def spaced(self, texts: list[str]) -> Iterator[bytes]:
         """The encodings of a few texts where a space belongs to the word after it.
@@ -121,6 +134,11 @@ class WordCache:
         known = self.known
         if len(known) > self.keep:
             known.clear()
+        if self.one:
+            known.whole = whole
+            for words in cut:
+                yield b"".join(map(known.__getitem__, words))
+            return
         new = list(dict.fromkeys(w for words in cut for w in words if w not in known))
         known.update(zip(new, self.encode([whole(w) for w in new]), strict=True))
         for words in cut:
@@ -134,6 +152,9 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in stay} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
 
+#: The byte-level pre-tokeniser's own pattern, where a tokenizer names none.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 #: Below these the library's normaliser does no more than str.lower().
 _PLAIN = re.compile("[^\0-\u012f]")
 
@@ -141,14 +162,17 @@ _PLAIN = re.compile("[^\0-\u012f]")
 class LibraryEncoder:
     """Strings to ids (as bytes) by the tokenizers library, special strings being ordinary text.
 
-    A word of letters, and one with a full stop or comma behind it, needs no search for
-    pre-tokens: the library's model takes its parts directly. All else goes through the whole
-    library. Strings for a lower-casing vocabulary come lower-cased.
+    Plain strings are cut by the tokenizer's own pattern here, and its model takes each part;
+    words are remembered. All else goes through the whole library. Strings for a lower-casing
+    vocabulary come lower-cased.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
+        import json
         import os
 
+        import regex
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -157,33 +181,29 @@ class LibraryEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model, self.chars, self.keep = self.tokenizer.model, _byte_chars(), keep
         self.words: dict[str, bytes] = {}
+        before = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
+        steps = before.get("pretokenizers", [before])
+        split = next((x["pattern"]["Regex"] for x in steps if x["type"] == "Split"), BYTE_LEVEL)
+        self.cut = regex.compile(split).findall
 
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            shown = word.encode().decode("latin-1").translate(self.chars)
+            if len(self.words) > self.keep:
+                self.words.clear()
+            if word.isascii() and word[1:].isalpha() and word[0] == " ":
+                shown = self.chars[32] + word[1:]
+            else:
+                shown = word.encode().decode("latin-1").translate(self.chars)
             found = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
-    def __call__(self, strings: list[str]) -> list[bytes]:
-        if len(self.words) > self.keep:
-            self.words.clear()
-        out: list[bytes | None] = []
-        rest: list[int] = []
-        for i, s in enumerate(strings):
-            bare = s[1:] if s[:1] == " " else s
-            if bare.isalpha() and not _PLAIN.search(bare):
-                out.append(self._word(s))
-            elif bare[-1:] in (".", ",") and bare[:-1].isalpha() and not _PLAIN.search(bare):
-                out.append(self._word(s[:-1]) + self._word(s[-1]))
-            else:
-                out.append(None)
-                rest.append(i)
-        for at in range(0, len(rest), 5000):
-            some = rest[at : at + 5000]
-            for i, e in zip(some, self.tokenizer.encode_batch([strings[i] for i in some], add_special_tokens=False), strict=True):
-                out[i] = array("I", e.ids).tobytes()
-        return out
+    def one(self, text: str) -> bytes:
+        if (text[1:] if text[:1] == " " else text).isalpha() and not _PLAIN.search(text):
+            return self._word(text)
+        if not _PLAIN.search(text):
+            return b"".join(map(self._word, self.cut(text)))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _CACHES: dict[str, WordCache] = {}
