@@ -49,6 +49,42 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm import personal
+
+    found = personal.find(common.table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, personal.KINDS))
+
+    def written(spans):
+        ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+        return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(personal.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("spans")), 256).alias("base_sha256"), written(F.concat("spans", "more")).alias("spans"))
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm import neighbours
+
+    return neighbours.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm import near_dup
+
+    return near_dup.near_duplicates(common.table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm import toxicity
+
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    model = toxicity.train(toxicity.labelled_sample(docs, labels.where(~held_out)))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= toxicity.PREDICT).cast("int").alias("predicted"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm import chat
 
@@ -61,6 +97,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_secrets, op3_token_files, op4_packing, op5_quality, op10_chat)
+    f.__name__: f for f in (op1_byte_bpe, op2_secrets, op3_token_files, op4_packing, op5_quality, op6_personal, op7_neighbours, op8_near_dup, op9_toxicity, op10_chat)
 }
 SQL: dict[str, str] = {}
