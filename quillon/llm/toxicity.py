@@ -6,10 +6,11 @@ replaced characters stay close to the plain ones. Landmarks span the feature spa
 a linear machine with squared hinge loss is trained there, and since the kernel is a product of
 explicit subsequence weights, the machine collapses into one weight per subsequence.
 
-Labels belong to texts, so words are labelled in turns: at first those that occur in toxic
-texts only and often, then the worst word of each toxic text that no word explains; words of
-clean texts are negative, the most toxic-looking ones first. A text's score is a logistic
-function of its two worst words, fitted on the same bounded sample of labelled texts.
+Labels belong to texts, so words are labelled in turns: at first those with runs of characters
+that only toxic texts have, in more texts than chance would give, then further words of toxic texts
+that the machine finds; other words of clean texts are negative, the most toxic-looking ones
+first. A text's score is a logistic function of its worst words, fitted on the same bounded
+sample of labelled texts, near copies left out.
 
 Null and empty texts have no words and get the score of a clean text. Repeated rows give
 repeated results; without labels every score is 0.
@@ -17,6 +18,7 @@ repeated results; without labels every score is 0.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -37,6 +39,8 @@ LANDMARKS = 180
 SAMPLE = {1: 700, 0: 1400}
 SAMPLE_CHARS = 10_000
 PREDICT = 0.7
+#: How many of a text's worst words its score looks at.
+WORST = 2
 
 _ACCENTS = dict(zip("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy", strict=True))
 _LOOKALIKES = dict(zip("013457@$", "oleastas", strict=True))
@@ -152,7 +156,7 @@ def spread(words: list[str], most: int) -> list[str]:
 
 
 class Model:
-    """A weight per subsequence, a bias, and the logistic function of a text's two worst words."""
+    """A weight per subsequence, a bias, and the logistic function of a text's worst words."""
 
     def __init__(self, weights: np.ndarray, bias: float, curve: np.ndarray):
         self.weights, self.bias, self.curve = weights.astype(np.float64), bias, curve
@@ -160,27 +164,34 @@ class Model:
     def margins(self, words: list[str]) -> np.ndarray:
         return products(words, self.weights[:, None])[:, 0] + self.bias if words else np.empty(0)
 
-    def text_score(self, worst: tuple[float, float]) -> float:
-        z = self.curve @ np.array([np.clip(worst[0], -3, 3), np.clip(worst[1], -3, 3), 1.0])
+    def text_score(self, worst: list[float]) -> float:
+        z = self.curve @ np.array([*worst, 1.0])
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def _worst(margins: Iterable[float]) -> tuple[float, float]:
-    top = sorted(margins, reverse=True)[:2]
-    return tuple((top + [-3.0, -3.0])[:2])
+def _worst(margins: Iterable[float]) -> list[float]:
+    """The WORST largest margins, within -2 and 2."""
+    top = heapq.nlargest(WORST, margins)
+    return [min(2.0, max(-2.0, m)) for m in top] + [-2.0] * (WORST - len(top))
+
+
+def _runs(word: str) -> set[str]:
+    word = "^" + word
+    return {word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1)}
 
 
 def _unlike(bags: list[tuple[set[str], int]]) -> list[tuple[set[str], int]]:
     """The bags without near copies of earlier ones, whose words would seem toxic together.
 
-    Bags are near copies when one of the four least hashes of their long words is the same.
+    Bags are near copies when two neighbours among the five least hashes of their long words are the same.
     """
     kept, seen = [], set()
     for bag, y in bags:
-        least = sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in bag if len(w) > 8)[:4]
-        if seen.isdisjoint(least):
+        least = sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in bag if len(w) > 8)[:5]
+        pairs = list(zip(least, least[1:]))
+        if seen.isdisjoint(pairs):
             kept.append((bag, y))
-        seen.update(least)
+        seen.update(pairs)
     return kept
 
 
@@ -191,10 +202,16 @@ def train(texts: list[tuple[str, int]], rounds: int = 3, seed: int = 7) -> Model
     toxic, clean = Counter(w for b, y in bags if y for w in b), Counter(w for b, y in bags if not y for w in b)
     if not any(y for _, y in bags) or not clean:
         return None
+    # Runs of characters that only toxic texts have, in more of them than chance would give.
     share = sum(y for _, y in bags) / len(bags)
-    often = max(3, int(np.ceil(np.log(1e-4) / np.log(max(share, 1e-3)))))
-    often = min(often, max(toxic.values()))
-    bad = sorted(w for w, n in toxic.items() if not clean[w] and n >= often)
+    often = max(3, int(np.ceil(np.log(1e-5) / np.log(max(share, 1e-3)))))
+    runs, clean_runs = Counter(), {r for w in clean for r in _runs(w)}
+    for bag, y in bags:
+        if y:
+            runs.update({r for w in bag if not clean[w] for r in _runs(w)} - clean_runs)
+    often = min(often, max(runs.values(), default=1))
+    telling = {r for r, n in runs.items() if n >= often}
+    bad = sorted(w for w in toxic if not clean[w] and not telling.isdisjoint(_runs(w)))
     negatives = sorted(clean)
     sample = [negatives[i] for i in rng.permutation(len(negatives))[:4000]] + [w for w, _ in clean.most_common(500)]
     model = None
@@ -209,26 +226,19 @@ def train(texts: list[tuple[str, int]], rounds: int = 3, seed: int = 7) -> Model
         words = bad + sample
         labels = np.array([1.0] * len(bad) + [-1.0] * len(sample))
         w, bias = fit_machine(products(words, basis) @ root, labels)
-        model = Model(basis @ (root @ w), bias, np.array([4.0, 1.0, 0.0]))
+        model = Model(basis @ (root @ w), bias, np.zeros(WORST + 1))
         hard = model.margins(negatives)
         sample = sample + [negatives[i] for i in np.argsort(-hard)[:2000]]
         more = set(bad)
-        for bag, y in bags:
-            if y and not bag & more:
-                own = sorted(b for b in bag if not clean[b])
-                if own:
-                    m = model.margins(own)
-                    if m.max() > -0.5:
-                        more.add(own[int(m.argmax())])
         known = sorted(w for w, n in toxic.items() if not clean[w] and n >= 3)
-        more |= {w for w, m in zip(known, model.margins(known), strict=True) if m > 0.3}
+        more |= {w for w, m in zip(known, model.margins(known), strict=True) if m > 0.3} if known else set()
         bad = sorted(more)
-    x = np.array([[*np.clip(_worst(model.margins(sorted(b))), -3, 3), 1.0] for b, _ in bags])
+    x = np.array([[*_worst(model.margins(sorted(b))), 1.0] for b, _ in bags])
     y = np.array([float(y) for _, y in bags])
-    curve = np.zeros(3)
+    curve = np.zeros(WORST + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-4)) @ x / len(x) + 1e-3 * np.eye(3), x.T @ (p - y) / len(x) + 1e-3 * curve)
+        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-4)) @ x / len(x) + 1e-3 * np.eye(WORST + 1), x.T @ (p - y) / len(x) + 1e-3 * curve)
         curve = curve - step
     model.curve = curve
     return model
