@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import catalogue
+from quillon.plans import catalogue, programs
+from quillon.plans.dialect import parse_all
+from quillon.plans.evaluate import Evaluation
 from quillon.sources import tables
 
 
@@ -18,13 +20,25 @@ def _by_sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def _by_program(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    statements, wanted, order, _ = programs.PROGRAMS[name]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables.register(spark, sf_dir)
+        found = Evaluation(spark, parse_all(statements), order)
+        return (found.violations | found.objectives)[wanted]
+
+    return query
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_sql(catalogue.SPARK["check_group"])(spark, sf_dir)
+    """Suppliers whose line items exceed a capacity: one constraint statement, parsed and evaluated."""
+    return _by_program("dialect_group_check")(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _by_sql(text) for name, text in catalogue.SPARK.items()}
+    return {name: _by_sql(text) for name, text in catalogue.SPARK.items()} | {name: _by_program(name) for name in programs.PROGRAMS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(catalogue.DUCKDB)
+    return dict(catalogue.DUCKDB) | {name: p[3] for name, p in programs.PROGRAMS.items()}
