@@ -110,7 +110,7 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT q, CASE WHEN u = 'm' THEN CAST(d AS bigint) WHEN u = '' THEN CAST(d AS bigint) * 1000 END AS milli FROM (SELECT q, regexp_extract(q, '^([0-9]+)(.*)$', 1) AS d, regexp_extract(q, '^([0-9]+)(.*)$', 2) AS u FROM (SELECT concat(CAST(p_size AS string), CASE WHEN p_size % 2 = 0 THEN 'm' ELSE '' END) AS q FROM part) a) b",
         "SELECT q, CASE WHEN u = 'm' THEN CAST(d AS bigint) WHEN u = '' THEN CAST(d AS bigint) * 1000 END AS milli FROM (SELECT q, regexp_extract(q, '^([0-9]+)(.*)$', 1) AS d, regexp_extract(q, '^([0-9]+)(.*)$', 2) AS u FROM (SELECT concat(CAST(p_size AS varchar), CASE WHEN p_size % 2 = 0 THEN 'm' ELSE '' END) AS q FROM part) a) b",
     ),
-    "epoch_millis": ("SELECT event_id, unix_millis(CAST(ts AS timestamp)) AS ms FROM events", "SELECT event_id, epoch_ms(ts) AS ms FROM events"),
+    "epoch_millis": ("SELECT event_id, unix_millis(CAST(ts AS timestamp)) AS ms FROM events", "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events"),
     "trace_quantiles": (
         "SELECT event_type, round(percentile(value, 0.01), 6) AS p1, round(percentile(value, 0.25), 6) AS p25, round(percentile(value, 0.5), 6) AS p50, round(percentile(value, 0.75), 6) AS p75, round(percentile(value, 0.99), 6) AS p99 FROM events GROUP BY event_type",
         "SELECT event_type, round(quantile_cont(value, 0.01), 6) AS p1, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type",
