@@ -9,8 +9,9 @@ verified by exact Jaccard similarity on the full sets.
 
 No group is expanded into all its pairs. First each list links its members to one of them, the
 one that the most lists know; the connected components of verified links make one class each.
-Then only members of one list that lie in different components are paired, so every link that
-could still join two components is tested. Shared prefixes can't join classes unless verified.
+Members of lists that still hold several components are then listed anew, under the rarest
+values of their full sets (exact prefix filtering), and only members of such a list that lie in
+different components are paired: every link that could still join two components is tested.
 
 Texts without words (null, empty) link with nothing. Rows that share a doc_id are one node;
 rows with a null doc_id are kept and link with nothing. Repeated rows give repeated results.
@@ -23,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -99,21 +100,41 @@ def signatures(df: DataFrame, words: int) -> DataFrame:
     return common.texts_of(df.select("doc_id", "text")).mapInArrow(run, "doc_id long, n long, sig binary, sketch array<long>")
 
 
-def prefix_lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """(value, node, n, weight): each node of ``nodes`` under its rarest retained values.
+def prefix_lists(rows: DataFrame, overlap: Column) -> DataFrame:
+    """Of the rows (value, node, n, k), those of each node's rarest values.
 
-    Values that one node holds are left out. ``weight``: how many nodes its values lead to.
+    Two nodes that share at least ``overlap`` of their values (k of them listed, the same order
+    of rarity for all) share one of these. Values that one node holds are left out. ``weight``:
+    how many nodes its values lead to.
     """
-    rows = nodes.select("node", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     lists = rows.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
     shared = rows.join(lists, "value")
-    # With k < K the sketch is the whole set; the margin of 2 is for sets a little larger than K.
-    overlap = F.when(F.col("k") >= K, F.lit(SHARED)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("k") * percent / 100).cast("int") - 2))
     w = W.partitionBy("node").orderBy(F.desc("c"), F.desc("value"))
     ranked = shared.withColumn("place", F.row_number().over(w)).withColumn("weight", F.sum("c").over(W.partitionBy("node")))
     return ranked.where(F.col("place") >= overlap).select("value", "node", "n", "weight")
 
 
+def sketch_lists(nodes: DataFrame, percent: int) -> DataFrame:
+    """``prefix_lists`` of the retained values."""
+    rows = nodes.select("node", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+    # With k < K the sketch is the whole set; the margin of 2 is for sets a little larger than K.
+    return prefix_lists(rows, F.when(F.col("k") >= K, F.lit(SHARED)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("k") * percent / 100).cast("int") - 2)))
+
+
+def whole_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``prefix_lists`` of the full sets of some nodes (node, n): exact, and short for unlike sets."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, n, data in common.arrow_rows(batches, "node", "n", "set"):
+            values = np.frombuffer(data, np.int64)
+            for at in range(0, len(values), 50_000):
+                some = values[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), node)), pa.array(np.full(len(some), n))], ["value", "node", "n"])
+
+    rows = members.join(sets, "node").select("node", "n", "set").mapInArrow(run, "value long, node long, n long")
+    return prefix_lists(rows, F.ceil(F.col("n") * percent / 100))
+
+
 def _near_in_size(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -165,7 +186,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     docs = common.stage(spark, signatures(df, words), "signatures")
     real = docs.where("n > 0 AND doc_id IS NOT NULL")
     nodes = common.stage(spark, real.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    lists = common.stage(spark, prefix_lists(nodes, percent), "lists")
+    lists = common.stage(spark, sketch_lists(nodes, percent), "lists")
 
     # The full sets of nodes in any list, made anew from the texts.
     wanted = lists.select("node").distinct()
@@ -185,7 +206,11 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFra
 
     placed = lists.join(classes, "node", "left").select("value", "node", "n", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
-    rest = common.stage(spark, placed.join(mixed, "value", "left_semi"), "mixed-lists")
+    members = common.stage(spark, placed.join(mixed, "value", "left_semi").select("node", "n", "comp").distinct(), "mixed-members")
+    whole = whole_lists(members, sets, percent).join(members.select("node", "comp"), "node")
+    whole = common.stage(spark, whole, "whole-lists")
+    several = whole.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
+    rest = common.stage(spark, whole.join(several, "value", "left_semi"), "mixed-lists")
     left, right = rest.alias("l"), rest.alias("r")
     across = left.join(right, (F.col("l.value") == F.col("r.value")) & (F.col("l.comp") < F.col("r.comp")) & _near_in_size("l.n", "r.n", percent))
     across = across.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
