@@ -104,14 +104,15 @@ def prefix_lists(rows: DataFrame, overlap: Column) -> DataFrame:
     """Of the rows (value, node, n, k), those of each node's rarest values.
 
     Two nodes that share at least ``overlap`` of their values (k of them listed, the same order
-    of rarity for all) share one of these. Values that one node holds are left out. ``weight``:
-    how many nodes its values lead to.
+    of rarity for all) share one of these. Values that one node holds are left out. ``place``:
+    how many of its shared values are no rarer than this one. ``weight``: how many nodes its
+    values lead to.
     """
     lists = rows.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
     shared = rows.join(lists, "value")
     w = W.partitionBy("node").orderBy(F.desc("c"), F.desc("value"))
     ranked = shared.withColumn("place", F.row_number().over(w)).withColumn("weight", F.sum("c").over(W.partitionBy("node")))
-    return ranked.where(F.col("place") >= overlap).select("value", "node", "n", "weight")
+    return ranked.where(F.col("place") >= overlap).select("value", "node", "n", "place", "weight")
 
 
 def sketch_lists(nodes: DataFrame, percent: int) -> DataFrame:
@@ -135,6 +136,15 @@ def whole_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return prefix_lists(rows, F.ceil(F.col("n") * percent / 100))
 
 
+def _can_reach(a: str, b: str, percent: int) -> Column:
+    """Whether two sets whose rarest common value this is can have the threshold's overlap.
+
+    All they share is no rarer than that value, so the lower of its two places bounds it. A pair
+    that reaches the threshold passes at its rarest common value, if at no other.
+    """
+    return F.least(f"{a}.place", f"{b}.place") * (100 + percent) >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def _near_in_size(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -212,7 +222,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     several = whole.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
     rest = common.stage(spark, whole.join(several, "value", "left_semi"), "mixed-lists")
     left, right = rest.alias("l"), rest.alias("r")
-    across = left.join(right, (F.col("l.value") == F.col("r.value")) & (F.col("l.comp") < F.col("r.comp")) & _near_in_size("l.n", "r.n", percent))
+    across = left.join(right, (F.col("l.value") == F.col("r.value")) & (F.col("l.comp") < F.col("r.comp")) & _near_in_size("l.n", "r.n", percent) & _can_reach("l", "r", percent))
     across = across.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     second = common.stage(spark, verified(likely(across, nodes, percent), sets, percent), "cross-links")
     joined = components(first.union(second))
