@@ -145,6 +145,13 @@ def _can_reach(a: str, b: str, percent: int) -> Column:
     return F.least(f"{a}.place", f"{b}.place") * (100 + percent) >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def _with_partners(lists: DataFrame, percent: int) -> DataFrame:
+    """Members of lists that hold several components, without those whose place reaches no size there."""
+    ends = lists.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo <> hi")
+    found = lists.join(ends, "value").where(F.col("place") * (100 + percent) >= percent * (F.col("n") + F.col("least")))
+    return found.select(*lists.columns)
+
+
 def _near_in_size(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -219,8 +226,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     members = common.stage(spark, placed.join(mixed, "value", "left_semi").select("node", "n", "comp").distinct(), "mixed-members")
     whole = whole_lists(members, sets, percent).join(members.select("node", "comp"), "node")
     whole = common.stage(spark, whole, "whole-lists")
-    several = whole.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
-    rest = common.stage(spark, whole.join(several, "value", "left_semi"), "mixed-lists")
+    rest = common.stage(spark, _with_partners(_with_partners(whole, percent), percent), "mixed-lists")
     left, right = rest.alias("l"), rest.alias("r")
     across = left.join(right, (F.col("l.value") == F.col("r.value")) & (F.col("l.comp") < F.col("r.comp")) & _near_in_size("l.n", "r.n", percent) & _can_reach("l", "r", percent))
     across = across.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
