@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import catalogue, programs
+from quillon.plans import catalogue, cluster_views, programs
 from quillon.plans.dialect import parse_all
 from quillon.plans.evaluate import Evaluation
 from quillon.sources import tables
@@ -37,8 +37,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _by_sql(text) for name, text in catalogue.SPARK.items()} | {name: _by_program(name) for name in programs.PROGRAMS}
+    return {name: _by_sql(text) for name, text in catalogue.SPARK.items()} | {name: _by_program(name) for name in programs.PROGRAMS} | {name: cluster_views.query(name) for name in cluster_views.VIEWS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(catalogue.DUCKDB) | {name: p[3] for name, p in programs.PROGRAMS.items()}
+    return dict(catalogue.DUCKDB) | {name: p[3] for name, p in programs.PROGRAMS.items()} | {name: cluster_views.sql(name) for name in cluster_views.VIEWS}
