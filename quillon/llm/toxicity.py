@@ -19,6 +19,7 @@ repeated results; without labels every score is 0.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -32,7 +33,7 @@ from quillon.llm import common
 
 DECAY = 0.6
 GAPS = ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2))
-CODES = 30
+CODES = 38
 LONGEST = 24
 LANDMARKS = 180
 #: Labelled texts of each label that the machine is fitted on, and their greatest length.
@@ -40,12 +41,17 @@ SAMPLE = {1: 700, 0: 1400}
 SAMPLE_CHARS = 10_000
 PREDICT = 0.7
 #: How many of a text's worst words its score looks at.
-WORST = 2
+WORST = 4
+#: Of a telling run's texts so many are toxic for each clean one, at odds by chance below these.
+PURE = 1
+CHANCE = 0.01
 
-_ACCENTS = dict(zip("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy", strict=True))
+#: Accented letters that count alike; other languages' words differ by them, so they aren't folded into plain ones.
+_ACCENTS = ("éë", "èê", "àáâãäå", "ç", "ñ", "ìíîï", "òóôõö", "ùúûü", "ýÿ")
 _LOOKALIKES = dict(zip("013457@$", "oleastas", strict=True))
 _CODE = {chr(97 + i): i + 1 for i in range(26)}
-_CODE |= {k: _CODE[v] for k, v in (_ACCENTS | _LOOKALIKES).items()} | {"^": 28}
+_CODE |= {k: _CODE[v] for k, v in _LOOKALIKES.items()} | {"^": 28}
+_CODE |= {k: 29 + i for i, alike in enumerate(_ACCENTS) for k in alike}
 _TABLE = bytes(_CODE.get(chr(b), 27) for b in range(256))
 EDGE = ".,;:!?\"'()[]{}«»“”"
 
@@ -177,7 +183,7 @@ def _worst(margins: Iterable[float]) -> list[float]:
 
 def _runs(word: str) -> set[str]:
     word = "^" + word
-    return {word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1)}
+    return {word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1)} | {word + "$"}
 
 
 def _unlike(bags: list[tuple[set[str], int]]) -> list[tuple[set[str], int]]:
@@ -195,6 +201,35 @@ def _unlike(bags: list[tuple[set[str], int]]) -> list[tuple[set[str], int]]:
     return kept
 
 
+def _bad_words(bags: list[tuple[set[str], int]], share: float) -> set[str]:
+    """Words with telling runs, and more often in toxic texts than in clean ones.
+
+    A run (or whole word) is telling if most texts that have it are toxic and the odds that so
+    many are, were it unrelated to the label, are below CHANCE over the number of runs (by a
+    bound on the binomial tail). First come runs that no clean text has; their words are then
+    left out, so that runs which only resemble those words tell nothing in the second turn.
+    """
+    share = min(max(share, 1e-3), 0.999)
+    toxic, clean = Counter(w for b, y in bags if y for w in b), Counter(w for b, y in bags if not y for w in b)
+
+    def odds(t: int, c: int) -> float:
+        q = t / (t + c)
+        return (t + c) * (q * math.log(share / q) + ((1 - q) * math.log((1 - share) / (1 - q)) if c else 0.0))
+
+    bad: set[str] = set()
+    for pure in (True, False):
+        t, c = Counter(), Counter()
+        for bag, y in bags:
+            (t if y else c).update({r for w in bag if w not in bad for r in _runs(w)})
+        limit = math.log(CHANCE / max(1, len(t)))
+        telling = {r for r, n in t.items() if (c[r] == 0 if pure else n > PURE * c[r]) and odds(n, c[r]) < limit}
+        if pure and not telling:  # too few texts for odds: the most frequent runs that no clean text has
+            most = max((n for r, n in t.items() if not c[r]), default=0)
+            telling = {r for r, n in t.items() if not c[r] and n == most}
+        bad |= {w for w, n in toxic.items() if n > clean[w] and not telling.isdisjoint(_runs(w))}
+    return bad
+
+
 def train(texts: list[tuple[str, int]], rounds: int = 3, seed: int = 7) -> Model | None:
     """A model from labelled texts; None without both labels."""
     rng = np.random.default_rng(seed)
@@ -202,17 +237,9 @@ def train(texts: list[tuple[str, int]], rounds: int = 3, seed: int = 7) -> Model
     toxic, clean = Counter(w for b, y in bags if y for w in b), Counter(w for b, y in bags if not y for w in b)
     if not any(y for _, y in bags) or not clean:
         return None
-    # Runs of characters that only toxic texts have, in more of them than chance would give.
     share = sum(y for _, y in bags) / len(bags)
-    often = max(3, int(np.ceil(np.log(1e-5) / np.log(max(share, 1e-3)))))
-    runs, clean_runs = Counter(), {r for w in clean for r in _runs(w)}
-    for bag, y in bags:
-        if y:
-            runs.update({r for w in bag if not clean[w] for r in _runs(w)} - clean_runs)
-    often = min(often, max(runs.values(), default=1))
-    telling = {r for r, n in runs.items() if n >= often}
-    bad = sorted(w for w in toxic if not clean[w] and not telling.isdisjoint(_runs(w)))
-    negatives = sorted(clean)
+    bad = sorted(_bad_words(bags, share))
+    negatives = sorted(set(clean) - set(bad))
     sample = [negatives[i] for i in rng.permutation(len(negatives))[:4000]] + [w for w, _ in clean.most_common(500)]
     model = None
     for _ in range(rounds):
@@ -230,7 +257,7 @@ def train(texts: list[tuple[str, int]], rounds: int = 3, seed: int = 7) -> Model
         hard = model.margins(negatives)
         sample = sample + [negatives[i] for i in np.argsort(-hard)[:2000]]
         more = set(bad)
-        known = sorted(w for w, n in toxic.items() if not clean[w] and n >= 3)
+        known = sorted(w for w, n in toxic.items() if n >= 3 and n > 3 * clean[w])
         more |= {w for w, m in zip(known, model.margins(known), strict=True) if m > 0.3} if known else set()
         bad = sorted(more)
     x = np.array([[*_worst(model.margins(sorted(b))), 1.0] for b, _ in bags])
