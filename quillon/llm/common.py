@@ -88,14 +88,29 @@ class Emitter:
 _UNSAFE_CUT = re.compile(r"\s (?:\s|\Z)")
 
 
+#: Marks that end a word and are a part of their own in every pattern here.
+_MARKS = frozenset(".,;:!?")
+
+
 class _Known(dict):
-    """Encodings of words; a missing one is made on the first look-up, so each word is looked up once."""
+    """Encodings of words; a missing one is made on the first look-up, so each word is looked up once.
 
-    def __init__(self, one: Callable[[str], bytes]):
-        self.one, self.whole = one, str
+    Letters alone are one part of the pattern and go to the model at once; one mark behind them is
+    the next part.
+    """
+
+    def __init__(self, encode: LibraryEncoder):
+        self.one, self.letters, self.whole, self.lead = encode.one, encode.letters, str, ""
+        self.marks = {mark: encode.one(mark) for mark in _MARKS}
 
     def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.one(self.whole(word))
+        if word.isalpha() and not _PLAIN.search(word):
+            found = self.letters(self.lead, word)
+        elif word[-1:] in _MARKS and word[:-1].isalpha() and not _PLAIN.search(word):
+            found = self[word[:-1]] + self.marks[word[-1]]
+        else:
+            found = self.one(self.whole(word))
+        self[word] = found
         return found
 
 
@@ -112,7 +127,7 @@ class WordCache:
     def __init__(self, encode, keep: int = 1_000_000):
         self.encode, self.keep = encode, keep
         self.one = getattr(encode, "one", None)
-        self.known: dict[str, bytes] = _Known(self.one) if self.one else {}
+        self.known: dict[str, bytes] = _Known(encode) if self.one else {}
 
     def spaced(self, texts: list[str]) -> Iterator[bytes]:
         """The encodings of a few texts where a space belongs to the word after it.
@@ -124,18 +139,18 @@ class WordCache:
         for text in texts:
             head, tail = (text, []) if _UNSAFE_CUT.search(text) else ((parts := text.split(" "))[0], parts[1:])
             cut.append(["\0 " + head, *tail])
-        return self._joined(cut, lambda w: w[2:] if w.startswith("\0 ") else " " + w)
+        return self._joined(cut, lambda w: w[2:] if w.startswith("\0 ") else " " + w, " ")
 
     def bare(self, texts: list[str]) -> Iterator[bytes]:
         """The encodings of a few texts where case and white space are dropped."""
-        return self._joined([(text if _PLAIN.search(text) else text.lower()).replace("\n", " ").split(" ") for text in texts], lambda w: w if _PLAIN.search(w) else w.lower())
+        return self._joined([(text if _PLAIN.search(text) else text.lower()).replace("\n", " ").split(" ") for text in texts], lambda w: w if _PLAIN.search(w) else w.lower(), "")
 
-    def _joined(self, cut: list[list[str]], whole: Callable[[str], str]) -> Iterator[bytes]:
+    def _joined(self, cut: list[list[str]], whole: Callable[[str], str], lead: str) -> Iterator[bytes]:
         known = self.known
         if len(known) > self.keep:
             known.clear()
         if self.one:
-            known.whole = whole
+            known.whole, known.lead = whole, lead
             for words in cut:
                 yield b"".join(map(known.__getitem__, words))
             return
@@ -145,6 +160,17 @@ class WordCache:
             yield b"".join(map(known.__getitem__, words))
 
 
+class _Shown(dict):
+    """A character as byte-level vocabularies write its bytes."""
+
+    def __init__(self, chars: dict[int, str]):
+        self.chars = chars
+
+    def __missing__(self, char: str) -> str:
+        found = self[char] = "".join(self.chars[b] for b in char.encode())
+        return found
+
+
 def _byte_chars() -> dict[int, str]:
     """Byte to character as byte-level vocabularies write them: printable ones stay, others follow from 256 on."""
     stay = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -181,6 +207,7 @@ class LibraryEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model, self.chars, self.keep = self.tokenizer.model, _byte_chars(), keep
         self.words: dict[str, bytes] = {}
+        self.shown = _Shown(self.chars)
         before = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
         steps = before.get("pretokenizers", [before])
         split = next((x["pattern"]["Regex"] for x in steps if x["type"] == "Split"), BYTE_LEVEL)
@@ -191,13 +218,16 @@ class LibraryEncoder:
         if found is None:
             if len(self.words) > self.keep:
                 self.words.clear()
-            if word.isascii() and word[1:].isalpha() and word[0] == " ":
-                shown = self.chars[32] + word[1:]
-            else:
-                shown = word.encode().decode("latin-1").translate(self.chars)
+            shown = "".join(map(self.shown.__getitem__, word))
             found = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
+    def letters(self, lead: str, word: str) -> bytes:
+        """The ids of letters below ``_PLAIN``, after a space or nothing: one part of the pattern."""
+        lead = lead and self.chars[32]
+        shown = lead + (word if word.isascii() else "".join(map(self.shown.__getitem__, word)))
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def one(self, text: str) -> bytes:
         if (text[1:] if text[:1] == " " else text).isalpha() and not _PLAIN.search(text):
             return self._word(text)
