@@ -95,8 +95,8 @@ _MARKS = frozenset(".,;:!?")
 class _Known(dict):
     """Encodings of words; a missing one is made on the first look-up, so each word is looked up once.
 
-    Letters alone are one part of the pattern and go to the model at once; one mark behind them is
-    the next part.
+    Letters alone are one part of the pattern and go to the model at once, in lower case where no
+    space leads; one mark behind them is the next part.
     """
 
     def __init__(self, encode: LibraryEncoder):
@@ -105,7 +105,7 @@ class _Known(dict):
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha() and not _PLAIN.search(word):
-            found = self.letters(self.lead, word)
+            found = self.letters(self.lead, word if self.lead else word.lower())
         elif word[-1:] in _MARKS and word[:-1].isalpha() and not _PLAIN.search(word):
             found = self[word[:-1]] + self.marks[word[-1]]
         else:
@@ -190,10 +190,10 @@ class LibraryEncoder:
 
     Plain strings are cut by the tokenizer's own pattern here, and its model takes each part;
     words are remembered. All else goes through the whole library. Strings for a lower-casing
-    vocabulary come lower-cased.
+    vocabulary come lower-cased. ``kind``: the array type of the ids.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 500_000, kind: str = "I"):
         import json
         import os
 
@@ -205,7 +205,7 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.chars, self.keep = self.tokenizer.model, _byte_chars(), keep
+        self.model, self.chars, self.keep, self.kind = self.tokenizer.model, _byte_chars(), keep, kind
         self.words: dict[str, bytes] = {}
         self.shown = _Shown(self.chars)
         before = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
@@ -219,28 +219,35 @@ class LibraryEncoder:
             if len(self.words) > self.keep:
                 self.words.clear()
             shown = "".join(map(self.shown.__getitem__, word))
-            found = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            found = self.words[word] = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
     def letters(self, lead: str, word: str) -> bytes:
         """The ids of letters below ``_PLAIN``, after a space or nothing: one part of the pattern."""
         lead = lead and self.chars[32]
         shown = lead + (word if word.isascii() else "".join(map(self.shown.__getitem__, word)))
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def one(self, text: str) -> bytes:
         if (text[1:] if text[:1] == " " else text).isalpha() and not _PLAIN.search(text):
             return self._word(text)
         if not _PLAIN.search(text):
             return b"".join(map(self._word, self.cut(text)))
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-_CACHES: dict[str, WordCache] = {}
+_CACHES: dict[tuple[str, str], WordCache] = {}
 
 
-def word_cache(path: str) -> WordCache:
+def word_cache(path: str, kind: str = "I") -> WordCache:
     """The worker's cache for the tokenizer file at ``path``; it outlives single tasks."""
-    if path not in _CACHES:
-        _CACHES[path] = WordCache(LibraryEncoder(path))
-    return _CACHES[path]
+    if (path, kind) not in _CACHES:
+        _CACHES[path, kind] = WordCache(LibraryEncoder(path, kind=kind))
+    return _CACHES[path, kind]
+
+
+def id_kind(path: str, *more: int) -> str:
+    """The array type that holds all ids of the tokenizer file at ``path`` and ``more``: 16 bits if they fit."""
+    from tokenizers import Tokenizer
+
+    return "H" if max(*Tokenizer.from_file(path).get_vocab().values(), *more) < 1 << 16 else "I"

@@ -160,12 +160,12 @@ def read_shard(shard: bytes, table: Frequencies) -> Iterator[np.ndarray]:
         raise ValueError("a shard with more ids than its documents")
 
 
-def tokenise(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """``doc_id``, ``ids`` (little-endian 32-bit ids with the end id), null texts counting as empty."""
+def tokenise(df: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
+    """``doc_id``, ``ids`` (an array of the type ``kind``, with the end id), null texts counting as empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = common.word_cache(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
+        cache = common.word_cache(tokenizer, kind)
+        end = np.array([end_id], kind).tobytes()
         for block in common.arrow_blocks(batches, "doc_id", "text", text="text"):
             ids = [x + end for x in cache.bare([r[1] for r in block])]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in block], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -173,13 +173,13 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return common.texts_of(df.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> np.ndarray:
+def count_ids(tokens: DataFrame, kind: str) -> np.ndarray:
     """Counts by id over all documents; what reaches the driver is bounded by the vocabulary."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for (ids,) in common.arrow_rows(batches, "ids"):
-            found = np.bincount(np.frombuffer(ids, "<u4"))
+            found = np.bincount(np.frombuffer(ids, kind))
             if len(found) > len(total):
                 total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
             total[: len(found)] += found
@@ -199,8 +199,9 @@ def write_files(spark: SparkSession, df: DataFrame, path: str, tokenizer: str, e
     ``path/shards`` has one record per shard: part and shard numbers, which together ascend with
     doc_id, the tokens of the part before it, the documents' ids, and the payload. ``path/table`` has the counts by id.
     """
-    tokens = common.stage(spark, tokenise(df, tokenizer, end_id), "token-ids")
-    counts = count_ids(tokens)
+    kind = common.id_kind(tokenizer, end_id)
+    tokens = common.stage(spark, tokenise(df, tokenizer, end_id, kind), "token-ids")
+    counts = count_ids(tokens, kind)
     spark.createDataFrame([(i, int(n)) for i, n in enumerate(counts.tolist()) if n], "id int, n long").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(counts)
 
@@ -219,7 +220,7 @@ def write_files(spark: SparkSession, df: DataFrame, path: str, tokenizer: str, e
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "shard", "doc_ids", "before", "n_tokens", "payload"])
 
         for doc, ids in common.arrow_rows(batches, "doc_id", "ids"):
-            docs.append(np.frombuffer(ids, "<u4"))
+            docs.append(np.frombuffer(ids, kind))
             names.append(doc)
             size += len(docs[-1])
             if size >= shard_tokens:
