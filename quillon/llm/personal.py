@@ -1,12 +1,16 @@
 """Personal data: fixed patterns, and identifiers found in the contexts that those appear in.
 
-Bootstrapped extraction: entities that the fixed patterns find are seeds. The words before and
-after a seed are lexical patterns. Identifier-shaped strings that no fixed pattern finds are
-candidate instances. On the graph of patterns and instances Spark computes scores in turn: a
-pattern's score is the summed score of its instances over all occurrences of its word in the
-corpus, and an instance's is the noisy-or of its patterns' scores. Patterns need ``min_seeds``
+Bootstrapped extraction: entities that the fixed patterns find are seeds. The one to three words
+before a seed, and those after it, are lexical patterns. Identifier-shaped strings that no fixed
+pattern finds are candidate instances. On the graph of patterns and instances Spark computes
+scores in turn: a pattern's score is the summed score of its instances over all occurrences of
+its words in the corpus, and an instance's is the noisy-or of its patterns' scores, where of the
+patterns that end in the same word beside it only the best counts. Patterns need ``min_seeds``
 different seeds. Instances that reach ``threshold`` are reported as ``context``.
 
+Occurrences are counted in a second pass, and only those of patterns that seeds support and that
+stand beside a candidate.
+
 Null texts count as empty, repeated rows give repeated results, null ids are kept, further
 columns are ignored; an empty table gives no rows.
 """
@@ -18,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +34,22 @@ EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Identifier-shaped: digits and their separators with at least six digits, or with an at sign.
-CANDIDATE = re.compile(r"(?<!\S)(?:[(]?[0-9](?:[().\x20-]{0,2}[0-9]){5,}|[^\s@]+@[^\s@]+)(?!\S)")
+#: Identifier-shaped: account numbers in groups of four, digits and their separators with at least six digits, or letters and digits.
+CANDIDATE = re.compile(
+    r"(?<!\w)(?:[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?(?!\w)"
+    r"|[(]?[0-9](?:[().\x20-]{0,2}[0-9]){5,}(?![().\x20-]{0,2}[0-9]|\w)"
+    r"|(?=[A-Za-z]*[0-9])[A-Za-z0-9]+(?:[/-][A-Za-z0-9]+)*(?!\w))"
+)
+#: With an at sign.
+AT_CANDIDATE = re.compile(r"(?<![\w.%+-])[\w.%+-]+@(?:[\w.-]*\w)(?!@)")
+#: Letter-digit identifiers have so many characters and so many digits.
+ID_CHARS, ID_DIGITS = 6, 4
+WORD = re.compile(r"\w+")
+#: Words of a pattern, at most, and the characters that are searched for them.
+PATTERN_WORDS = 3
+REACH = 120
+#: Patterns whose occurrences one pass counts.
+PATTERNS_AT_ONCE = 300_000
 MIN_SEEDS = 3
 THRESHOLD = 0.5
 ROUNDS = 3
@@ -70,90 +89,127 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
-def _context(text: str, start: int, end: int) -> tuple[str, str]:
-    before, after = text[max(0, start - 80) : start].split(), text[end : end + 80].split()
-    return (before[-1].lower() if before else ""), (after[0].lower() if after else "")
-
+def candidates_of(text: str) -> list[tuple[int, int]]:
+    """(start, end) of identifier-shaped strings between characters that are no part of words."""
+    found = []
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        if m[0][0] == "(" and ")" not in m[0]:
+            start += 1
+        digits = sum(c in "0123456789" for c in m[0])
+        if digits >= 6 or digits >= ID_DIGITS and end - start >= ID_CHARS:
+            found.append((start, end))
+    if "@" in text:
+        ats = [m.span() for m in AT_CANDIDATE.finditer(text)]
+        found = sorted(ats + [(s, e) for s, e in found if not any(a < e and s < b for a, b in ats)])
+    return found
 
-class _Words:
-    """Counts of words, handed out whenever there are many."""
 
-    def __init__(self, most: int = 200_000):
-        self.counts: Counter[str] = Counter()
-        self.most = most
+def _context(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """The last one, two and three words before the place, and the first ones after it."""
+    before, after = WORD.findall(text[max(0, start - REACH) : start].lower()), WORD.findall(text[end : end + REACH].lower())
+    # A word that the reach cuts is left out.
+    before, after = before[1:] if start > REACH else before, after[:-1] if end + REACH < len(text) else after
+    n = range(1, PATTERN_WORDS + 1)
+    return [" ".join(before[-k:]) for k in n if k <= len(before)], [" ".join(after[:k]) for k in n if k <= len(after)]
 
-    def full(self) -> bool:
-        return len(self.counts) > self.most
 
-    def take(self) -> dict[str, int]:
-        counts, self.counts = self.counts, Counter()
-        return counts
+def pattern_counts(text: str, wanted: list[set[tuple[str, ...]]]) -> Counter[tuple[str, ...]]:
+    """How often each of the ``wanted`` patterns, in sets by their number of words, occurs in ``text``."""
+    words = WORD.findall(text.lower())
+    counts: Counter[tuple[str, ...]] = Counter()
+    for k, patterns in enumerate(wanted):
+        if patterns:
+            counts.update(filter(patterns.__contains__, zip(*(words[i:] for i in range(k + 1)))))
+    return counts
 
 
-ROWS = "part int, doc_id long, text_hash long, spans array<struct<start:int,end:int,kind:int>>, seeds array<struct<instance:string,left:string,right:string>>, candidates array<struct<start:int,end:int,instance:string,left:string,right:string>>, word string, n long"
+ROWS = "doc_id long, text_hash long, spans array<struct<start:int,end:int,kind:int>>, seeds array<struct<instance:string,left:array<string>,right:array<string>>>, candidates array<struct<start:int,end:int,instance:string,left:array<string>,right:array<string>>>"
 
 
 def scan(df: DataFrame) -> DataFrame:
-    """One pass over ``df`` (doc_id, text), kept in the shared folder.
-
-    Part 0: a row per document with its base spans, seeds and candidates in their contexts.
-    Part 1: counts of words, by piece of the input.
-    """
+    """One pass over ``df`` (doc_id, text), kept in the shared folder: a row per document with its
+    base spans, seeds and candidates in their contexts."""
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())])
-    seed = pa.struct([("instance", pa.string()), ("left", pa.string()), ("right", pa.string())])
+    seed = pa.struct([("instance", pa.string()), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))])
     candidate = pa.struct([("start", pa.int32()), ("end", pa.int32()), *seed])
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("spans", pa.list_(span)), ("seeds", pa.list_(seed)), ("candidates", pa.list_(candidate)), ("word", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("spans", pa.list_(span)), ("seeds", pa.list_(seed)), ("candidates", pa.list_(candidate))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, words = common.Emitter(schema), _Words()
-
-        def say_words() -> Iterator[pa.RecordBatch]:
-            for w, n in words.take().items():
-                out.add(1, None, None, None, None, None, w, n)
-                if out.full():
-                    yield out.take()
-
+        out = common.Emitter(schema)
         for doc, text, text_hash in common.arrow_rows(batches, "doc_id", "text", "text_hash"):
-            words.counts.update(text.lower().split())
             spans, seeds, candidates = [], [], []
             if any(map(text.__contains__, "0123456789@")):
                 spans = base_spans(text)
                 for start, end, _ in spans:
                     left, right = _context(text, start, end)
                     seeds.append({"instance": text[start:end], "left": left, "right": right})
-                for m in CANDIDATE.finditer(text):
-                    if not any(s < m.end() and m.start() < e for s, e, _ in spans):
-                        left, right = _context(text, m.start(), m.end())
-                        candidates.append({"start": m.start(), "end": m.end(), "instance": m[0], "left": left, "right": right})
-            out.add(0, doc, text_hash, [{"start": s, "end": e, "kind": k} for s, e, k in spans], seeds, candidates, None, None)
+                at, reach = 0, 0
+                for start, end in candidates_of(text):
+                    # Spans are in order: those that start before the candidate's end, and how far they reach.
+                    while at < len(spans) and spans[at][0] < end:
+                        reach = max(reach, spans[at][1])
+                        at += 1
+                    if reach <= start:
+                        left, right = _context(text, start, end)
+                        candidates.append({"start": start, "end": end, "instance": text[start:end], "left": left, "right": right})
+            out.add(doc, text_hash, [{"start": s, "end": e, "kind": k} for s, e, k in spans], seeds, candidates)
             if out.full():
                 yield out.take()
-            if words.full():
-                yield from say_words()
-        yield from say_words()
         yield out.take()
 
     docs = common.texts_of(df.select("doc_id", "text")).withColumn("text_hash", F.xxhash64("text"))
     return common.stage(df.sparkSession, docs.mapInArrow(run, ROWS), "personal-scan")
 
 
-def discover(scanned: DataFrame, min_seeds: int = MIN_SEEDS, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """The instances (``instance``, ``score``) that high-confidence patterns find."""
+def occurrences(df: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, all): how often each of ``patterns`` (pattern, all different) occurs in the texts of ``df``.
+
+    Each pass over the texts counts about PATTERNS_AT_ONCE patterns.
+    """
+    passes = max(1, -(-patterns.count() // PATTERNS_AT_ONCE))
+    texts, found = common.texts_of(df.select("text")), None
+    for part in range(passes):
+        wanted: list[set[tuple[str, ...]]] = [set() for _ in range(PATTERN_WORDS)]
+        for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == part).toLocalIterator():
+            words = tuple(r.pattern.split(" "))
+            wanted[len(words) - 1].add(words)
+        counted = texts.mapInArrow(_counter(df.sparkSession.sparkContext.broadcast(wanted)), "pattern string, n long")
+        found = counted if found is None else found.union(counted)
+    return found.groupBy("pattern").agg(F.sum("n").alias("all"))
+
+
+def _counter(shared: Broadcast):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[str, ...]] = Counter()
+        for (text,) in common.arrow_rows(batches, "text"):
+            counts.update(pattern_counts(text, shared.value))
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(p) for p in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
+
+    return run
+
+
+def discover(scanned: DataFrame, df: DataFrame, min_seeds: int = MIN_SEEDS, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+    """The instances (``instance``, ``score``) that high-confidence patterns find; ``scanned`` is the scan of ``df``."""
     spark = scanned.sparkSession
 
     def edges(column: str, seed: int) -> DataFrame:
-        one = scanned.where("part = 0").select(F.explode(column).alias("x"))
-        side = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("x.left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("x.right").alias("word"))))
-        return one.select("x.instance", side.alias("p")).select("instance", "p.side", "p.word", F.lit(seed).alias("seed")).where("word <> ''")
-
-    graph = edges("seeds", 1).union(edges("candidates", 0)).groupBy("side", "word", "instance", "seed").agg(F.count("*").alias("n"))
-    supported = graph.where("seed = 1").groupBy("side", "word").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    words = scanned.where("part = 1").join(supported.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("all"))
-    graph = common.stage(spark, graph.join(supported.select("side", "word"), ["side", "word"]).join(words, "word"), "personal-graph")
+        one = scanned.select(F.explode(column).alias("x"))
+        sided = lambda side, words: F.transform(words, lambda p: F.struct(F.lit(side).alias("side"), F.get(words, 0).alias("anchor"), p.alias("pattern")))
+        one = one.select("x.instance", F.explode(F.concat(sided("L", F.col("x.left")), sided("R", F.col("x.right")))).alias("p"))
+        return one.select("instance", "p.side", "p.anchor", "p.pattern", F.lit(seed).alias("seed"))
+
+    seen = edges("seeds", 1).groupBy("side", "pattern").agg(F.count_distinct("instance").alias("seeds")).where(F.col("seeds") >= min_seeds).select("side", "pattern")
+    beside = edges("candidates", 0).select("side", "pattern").distinct()
+    supported = common.stage(spark, seen.join(beside, ["side", "pattern"]), "personal-patterns")
+    words = occurrences(df, supported.select("pattern").distinct())
+    graph = edges("seeds", 1).union(edges("candidates", 0)).join(supported, ["side", "pattern"]).groupBy("side", "anchor", "pattern", "instance", "seed").agg(F.count("*").alias("n"))
+    graph = common.stage(spark, graph.join(words, "pattern"), "personal-graph")
     scores = graph.select("instance", "seed").distinct().select("instance", F.col("seed").cast("double").alias("score"))
     for _ in range(rounds):
-        patterns = graph.join(scores, "instance").groupBy("side", "word", "all").agg(F.sum(F.col("n") * F.col("score")).alias("s")).select("side", "word", F.least(F.lit(0.999), F.col("s") / F.col("all")).alias("p"))
-        found = graph.join(patterns, ["side", "word"]).groupBy("instance").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log1p(-F.col("p"))))).alias("found"))
+        patterns = graph.join(scores, "instance").groupBy("side", "pattern", "all").agg(F.sum(F.col("n") * F.col("score")).alias("s")).select("side", "pattern", F.least(F.lit(0.999), F.col("s") / F.col("all")).alias("p"))
+        best = graph.join(patterns, ["side", "pattern"]).groupBy("instance", "side", "anchor").agg(F.max("seed").alias("seed"), F.max("p").alias("p"))
+        found = best.groupBy("instance").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log1p(-F.col("p"))))).alias("found"))
         scores = common.stage(spark, found.select("instance", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("found")).alias("score")), "personal-scores")
     seeds = graph.where("seed = 1").select("instance").distinct()
     return scores.where(F.col("score") >= threshold).join(seeds, "instance", "left_anti")
@@ -161,7 +217,7 @@ def discover(scanned: DataFrame, min_seeds: int = MIN_SEEDS, threshold: float =
 
 def context_spans(scanned: DataFrame, instances: DataFrame) -> DataFrame:
     """(doc_id, text_hash, ``more``): the places of the discovered instances, by distinct document."""
-    places = scanned.where("part = 0").where(F.size("candidates") > 0).select("doc_id", "text_hash", F.explode("candidates").alias("c")).select("doc_id", "text_hash", "c.start", "c.end", "c.instance")
+    places = scanned.where(F.size("candidates") > 0).select("doc_id", "text_hash", F.explode("candidates").alias("c")).select("doc_id", "text_hash", "c.start", "c.end", "c.instance")
     one = F.struct("start", "end", F.lit(KINDS.index("context")).alias("kind"))
     return places.join(instances.select("instance"), "instance").groupBy(F.col("doc_id").alias("m_doc"), F.col("text_hash").alias("m_hash")).agg(F.collect_set(one).cast(SPANS).alias("more"))
 
@@ -169,15 +225,15 @@ def context_spans(scanned: DataFrame, instances: DataFrame) -> DataFrame:
 def find(df: DataFrame, **settings) -> DataFrame:
     """Per row of ``df`` (doc_id, text): ``spans`` of the fixed patterns, ``more`` of the contexts."""
     scanned = scan(df)
-    more = context_spans(scanned, discover(scanned, **settings))
+    more = context_spans(scanned, discover(scanned, df, **settings))
     same = F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_hash") == F.col("m_hash"))
-    return scanned.where("part = 0").join(more, same, "left").select("doc_id", "spans", F.coalesce("more", F.array().cast(SPANS)).alias("more"))
+    return scanned.join(more, same, "left").select("doc_id", "spans", F.coalesce("more", F.array().cast(SPANS)).alias("more"))
 
 
 def mask(df: DataFrame, **settings) -> DataFrame:
     """``df`` with every found span of ``text`` replaced by its kind in angle brackets; nulls stay."""
     scanned = scan(df)
-    more = context_spans(scanned, discover(scanned, **settings))
+    more = context_spans(scanned, discover(scanned, df, **settings))
     keyed = df.withColumn("m_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = keyed.join(more, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("m_key") == F.col("m_hash")), "left").drop("m_doc", "m_hash", "m_key")
     columns, place = df.columns, df.columns.index("text")
