@@ -2,8 +2,10 @@
 
 Two first-order Markov models over printable ASCII, one of random strings and one of ordinary
 identifiers, are trained from labelled samples by counting pairs of neighbouring characters.
-A candidate (a run of token characters that no pattern has found) is reported as ``random``
-when the mean log-likelihood ratio of its pairs exceeds ``threshold``.
+Candidates are runs of token characters without the spans that patterns have found. The whole
+run, its parts between separators, and every window of LEAST characters in a part are scored by
+the mean log-likelihood ratio of their pairs; a run is reported as ``random`` where it exceeds
+``threshold`` as a whole, else its parts that do, as a whole or in a window.
 
 Only DataFrame functions are used. Null texts count as empty, repeated rows give repeated
 results, a null doc_id is kept, further columns are ignored; an empty table gives no rows.
@@ -24,6 +26,9 @@ ASSIGN_HINT = r"(?i)(?:word|passwd|secret|token|key)[\x22']?\x20*[:=]"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+SEPARATORS = "/_=-"
+#: Characters of a candidate, and of a window that is scored, at least.
+LEAST = 20
 #: Mean log-likelihood ratio per pair of characters above which a candidate is random.
 THRESHOLD = 0.5
 CODES = 96
@@ -97,6 +102,48 @@ def mean_ratio(text: Column, model: list[float]) -> Column:
     return F.when(F.length(text) > 1, total / (F.length(text) - 1)).otherwise(0.0)
 
 
+def best_window(text: Column, model: list[float]) -> Column:
+    """The greatest mean ratio over the windows of LEAST characters of ``text``."""
+    ratios = F.from_json(F.lit(json.dumps(model)), "array<double>")
+    n = LEAST - 1
+    steps = F.sequence(F.lit(1), F.length(text) - 1)
+    ratio = lambda i: F.get(ratios, _code(text, i) * CODES + _code(text, i + 1))
+
+    def step(acc: Column, i: Column) -> Column:
+        now = acc["sum"] + ratio(i) - F.when(i > n, ratio(i - n)).otherwise(0.0)
+        return F.struct(now.alias("sum"), F.when(i >= n, F.greatest(acc["best"], now)).otherwise(acc["best"]).alias("best"))
+
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1e9).alias("best"))
+    return F.when(F.length(text) >= LEAST, F.aggregate(steps, start, step, lambda acc: acc["best"] / n)).otherwise(-1e9)
+
+
+def _pieces(span: Column, gaps: Column) -> Column:
+    """What is left of ``span`` without the ascending ``gaps`` (start, end), as SPAN."""
+    def piece(start: Column, end: Column) -> Column:
+        value = F.substring(span["value"], start - span["start"] + 1, end - start)
+        return F.struct(start.alias("start"), end.alias("end"), span["rank"].alias("rank"), span["kind"].alias("kind"), value.alias("value"))
+
+    def step(acc: Column, g: Column) -> Column:
+        more = F.when(g["start"] - acc["at"] >= LEAST, F.concat(acc["out"], F.array(piece(acc["at"], g["start"])))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], g["end"]).alias("at"), more.alias("out"))
+
+    last = F.struct(span["end"].alias("start"), span["end"].alias("end"))
+    start = F.struct(span["start"].alias("at"), F.array().cast(spans.SPAN).alias("out"))
+    return F.aggregate(F.concat(gaps, F.array(last)), start, step, lambda acc: acc["out"])
+
+
+def _outside(span: Column, base: Column) -> Column:
+    """The pieces of ``span`` of LEAST characters that no span of ``base`` meets."""
+    near = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    return _pieces(span, F.sort_array(F.transform(near, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))))
+
+
+def _parts(span: Column) -> Column:
+    """The parts of ``span`` of LEAST characters between separators."""
+    places = F.filter(F.sequence(F.lit(1), F.length(span["value"])), lambda i: F.instr(F.lit(SEPARATORS), F.substring(span["value"], i, F.lit(1))) > 0)
+    return _pieces(span, F.transform(places, lambda i: F.struct((span["start"] + i - 1).alias("start"), (span["start"] + i).alias("end"))))
+
+
 def scan(df: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``df`` (doc_id, text): the text, ``base`` (spans of patterns), ``random`` (spans of the models)."""
     text = F.col("text")
@@ -107,7 +154,8 @@ def scan(df: DataFrame, model: list[float], threshold: float = THRESHOLD) -> Dat
     docs = docs.withColumns({"assign": assign, "access": access, "hex": hexes})
     docs = docs.withColumn("candidates", spans.matches_if(text, text.rlike("[A-Za-z0-9+/_=-]{20}"), CANDIDATE, 3, "random"))
     base = F.concat("assign", "access", "hex")
-    free = F.filter("candidates", lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    free = F.flatten(F.transform("candidates", lambda c: _outside(c, F.col("base"))))
     docs = docs.withColumn("base", base).withColumn("candidates", free)
-    random = F.filter("candidates", lambda c: mean_ratio(c["value"], model) > threshold)
+    telling = lambda c: F.filter(_parts(c), lambda p: (mean_ratio(p["value"], model) > threshold) | (best_window(p["value"], model) > threshold))
+    random = F.flatten(F.transform("candidates", lambda c: F.when(mean_ratio(c["value"], model) > threshold, F.array(c)).otherwise(telling(c))))
     return docs.withColumn("random", F.when(F.size("candidates") > 0, random).otherwise(F.array().cast(spans.SPAN)))
