@@ -36,6 +36,35 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as keep it from clashing with a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        found.append(name)
+    return found
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """``left`` joined with ``right``, whose values of ``key`` are unique, where some values may hold much of ``left``.
+
+    Values with over a thousandth of the rows of ``left``, so fewer than a thousand of them, are
+    found by partial counts and broadcast; their rows are dealt to ``salts`` parts, and the rows of
+    ``right`` that they meet are copied to each part. ``left`` is read twice: give a stored table.
+    """
+    hot_key, salt = free_names(left.join(right.limit(0), key, "left"), "hot_key", "salt")
+    least = left.count() // 1000
+    hot = F.broadcast(left.groupBy(F.col(key).alias(hot_key)).agg(F.count("*").alias(salt)).where(F.col(salt) > least).select(hot_key))
+    part = F.when(F.col(hot_key).isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    dealt = left.join(hot, F.col(key) == F.col(hot_key), "left").withColumn(salt, part).drop(hot_key)
+    parts = F.when(F.col(hot_key).isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.join(hot, F.col(key) == F.col(hot_key), "left").withColumn(salt, F.explode(parts)).drop(hot_key)
+    return dealt.join(copied, [key, salt], how).drop(salt)
+
+
 def texts_of(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with null texts as empty ones."""
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))

@@ -1,18 +1,18 @@
 """Personal data: fixed patterns, and identifiers found in the contexts that those appear in.
 
 Bootstrapped extraction: entities that the fixed patterns find are seeds. The one to three words
-before a seed, and those after it, are lexical patterns. Identifier-shaped strings that no fixed
-pattern finds are candidate instances. On the graph of patterns and instances Spark computes
-scores in turn: a pattern's score is the summed score of its instances over all occurrences of
-its words in the corpus, and an instance's is the noisy-or of its patterns' scores, where of the
-patterns that end in the same word beside it only the best counts. Patterns need ``min_seeds``
-different seeds. Instances that reach ``threshold`` are reported as ``context``.
-
-Occurrences are counted in a second pass, and only those of patterns that seeds support and that
-stand beside a candidate.
+before an entity, and those after it, are lexical patterns. Identifier-shaped strings that no fixed
+pattern finds are candidate instances. Each round takes the patterns that stand beside at least
+``min_seeds`` different known instances (at first the seeds), counts their words' occurrences in
+the corpus, and scores the graph of patterns and instances: a pattern's score is the summed score
+of its instances over all those occurrences, and an instance's is the noisy-or of its patterns'
+scores, where of the patterns that end in the same word beside it only the best counts. Instances
+that reach ``threshold`` are known from then on, so they support patterns of their own in the next
+round; they are reported as ``context``. Rounds end when no pattern is new.
 
 Null texts count as empty, repeated rows give repeated results, null ids are kept, further
-columns are ignored; an empty table gives no rows.
+columns are ignored by ``find`` and kept by ``mask``, whatever their names; an empty table gives no
+rows. Very long words, runs of digits and texts take time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -30,22 +30,26 @@ from quillon.llm import common
 
 KINDS = ("email", "ip", "card", "phone", "context")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: What follows the at sign of ``EMAIL``; the characters before it are walked over.
+EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: As the fixed patterns; a match starts at a run's first digit, and none is tried inside a run.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Identifier-shaped: account numbers in groups of four, digits and their separators with at least six digits, or letters and digits.
-CANDIDATE = re.compile(
-    r"(?<!\w)(?:[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?(?!\w)"
-    r"|[(]?[0-9](?:[().\x20-]{0,2}[0-9]){5,}(?![().\x20-]{0,2}[0-9]|\w)"
-    r"|(?=[A-Za-z]*[0-9])[A-Za-z0-9]+(?:[/-][A-Za-z0-9]+)*(?!\w))"
-)
+#: Identifier-shaped: account numbers in groups of four, digits and their separators, or letters and digits.
+START = re.compile(r"(?<!\w)(?:[(](?=[0-9])|(?=[A-Za-z]*+[0-9]))")
+ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?(?!\w)")
+NUMBER = re.compile(r"[(]?[0-9](?:[().\x20-]{0,2}+[0-9])*+")
+TOKEN = re.compile(r"[A-Za-z0-9]++(?:[/-][A-Za-z0-9]++)*+")
+WORD_AT = re.compile(r"\w")
 #: With an at sign.
 AT_CANDIDATE = re.compile(r"(?<![\w.%+-])[\w.%+-]+@(?:[\w.-]*\w)(?!@)")
-#: Letter-digit identifiers have so many characters and so many digits.
-ID_CHARS, ID_DIGITS = 6, 4
+#: Numbers have so many digits; letter-digit identifiers so many characters and digits.
+NUMBER_DIGITS, ID_CHARS, ID_DIGITS = 6, 6, 4
+DIGITS = "0123456789"
 WORD = re.compile(r"\w+")
-#: Words of a pattern, at most, and the characters that are searched for them.
+#: Words of a pattern, at most, and the characters that are searched for them at first.
 PATTERN_WORDS = 3
 REACH = 120
 #: Patterns whose occurrences one pass counts.
@@ -67,15 +71,16 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind's number) of what the fixed patterns find, in order."""
     found = []
-    at = text.find("@")
+    at, done = text.find("@"), 0
     while at >= 0:
-        left, right = at, at + 1
-        while left and text[left - 1] in EMAIL_CHARS:
-            left -= 1
-        while right < len(text) and text[right] in EMAIL_CHARS:
-            right += 1
-        found.extend((m.start(), m.end(), 0) for m in EMAIL.finditer(text, left, right))
-        at = text.find("@", right)
+        left, domain = at, EMAIL_DOMAIN.match(text, at + 1)
+        if domain:
+            while left > done and text[left - 1] in EMAIL_CHARS:
+                left -= 1
+            if left < at:
+                done = domain.end()
+                found.append((left, done, 0))
+        at = text.find("@", max(at + 1, done))
     for m in IP.finditer(text):
         if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
             found.append((m.start(), m.end(), 1))
@@ -89,27 +94,66 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def _digits(text: str) -> int:
+    return sum(map(text.count, DIGITS))
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of numbers and letter-digit identifiers: no character is looked at more than a few times."""
+    found = START.search(text)
+    while found:
+        start = found.start()
+        account, number = ACCOUNT.match(text, start), NUMBER.match(text, start)
+        end = account.end() if account else number.end() if number else start
+        if number and not account and WORD_AT.match(text, end):
+            # The last digits belong to a word: the number ends before them.
+            end = start + len(text[start:end].rstrip(DIGITS).rstrip("(). -"))
+        if account or _digits(text[start:end]) >= NUMBER_DIGITS:
+            yield start + (text[start] == "(" and text.find(")", start, end) < 0), end
+        else:
+            start += text[start] == "("
+            end = after = TOKEN.match(text, start).end()
+            if WORD_AT.match(text, end):
+                end = max(text.rfind("/", start, end), text.rfind("-", start, end), start)
+            one = text[start:end]
+            count = _digits(one)
+            if count >= NUMBER_DIGITS or count >= ID_DIGITS and len(one) >= ID_CHARS:
+                yield start, end
+            end = end if end > start else after
+        found = START.search(text, end)
+
+
 def candidates_of(text: str) -> list[tuple[int, int]]:
     """(start, end) of identifier-shaped strings between characters that are no part of words."""
-    found = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if m[0][0] == "(" and ")" not in m[0]:
-            start += 1
-        digits = sum(c in "0123456789" for c in m[0])
-        if digits >= 6 or digits >= ID_DIGITS and end - start >= ID_CHARS:
-            found.append((start, end))
-    if "@" in text:
-        ats = [m.span() for m in AT_CANDIDATE.finditer(text)]
-        found = sorted(ats + [(s, e) for s, e in found if not any(a < e and s < b for a, b in ats)])
+    found = list(_numbers(text))
+    ats = [m.span() for m in AT_CANDIDATE.finditer(text)] if "@" in text else []
+    if ats:
+        kept, i = list(ats), 0
+        for start, end in found:
+            while i < len(ats) and ats[i][1] <= start:
+                i += 1
+            if i == len(ats) or ats[i][0] >= end:
+                kept.append((start, end))
+        found = sorted(kept)
     return found
 
 
+def _near(text: str, start: int, end: int) -> list[str]:
+    """The words of text[start:end] in lower case, without one that an end cuts."""
+    words = WORD.findall(text[start:end].lower())
+    cut_start = start and WORD_AT.match(text, start - 1) and WORD_AT.match(text, start)
+    cut_end = end < len(text) and WORD_AT.match(text, end - 1) and WORD_AT.match(text, end)
+    return words[1 if cut_start else 0 : -1 if cut_end else None]
+
+
 def _context(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    """The last one, two and three words before the place, and the first ones after it."""
-    before, after = WORD.findall(text[max(0, start - REACH) : start].lower()), WORD.findall(text[end : end + REACH].lower())
-    # A word that the reach cuts is left out.
-    before, after = before[1:] if start > REACH else before, after[:-1] if end + REACH < len(text) else after
+    """The last one, two and three words before the place, and the first ones after it, however far they are."""
+    reach, before, after = REACH, [], []
+    while len(before) < PATTERN_WORDS and reach < 2 * start + REACH:
+        before, reach = _near(text, max(0, start - reach), start), 2 * reach
+    reach = REACH
+    while len(after) < PATTERN_WORDS and reach < 2 * (len(text) - end) + REACH:
+        after, reach = _near(text, end, end + reach), 2 * reach
     n = range(1, PATTERN_WORDS + 1)
     return [" ".join(before[-k:]) for k in n if k <= len(before)], [" ".join(after[:k]) for k in n if k <= len(after)]
 
@@ -197,22 +241,32 @@ def discover(scanned: DataFrame, df: DataFrame, min_seeds: int = MIN_SEEDS, thre
         one = scanned.select(F.explode(column).alias("x"))
         sided = lambda side, words: F.transform(words, lambda p: F.struct(F.lit(side).alias("side"), F.get(words, 0).alias("anchor"), p.alias("pattern")))
         one = one.select("x.instance", F.explode(F.concat(sided("L", F.col("x.left")), sided("R", F.col("x.right")))).alias("p"))
-        return one.select("instance", "p.side", "p.anchor", "p.pattern", F.lit(seed).alias("seed"))
-
-    seen = edges("seeds", 1).groupBy("side", "pattern").agg(F.count_distinct("instance").alias("seeds")).where(F.col("seeds") >= min_seeds).select("side", "pattern")
-    beside = edges("candidates", 0).select("side", "pattern").distinct()
-    supported = common.stage(spark, seen.join(beside, ["side", "pattern"]), "personal-patterns")
-    words = occurrences(df, supported.select("pattern").distinct())
-    graph = edges("seeds", 1).union(edges("candidates", 0)).join(supported, ["side", "pattern"]).groupBy("side", "anchor", "pattern", "instance", "seed").agg(F.count("*").alias("n"))
-    graph = common.stage(spark, graph.join(words, "pattern"), "personal-graph")
-    scores = graph.select("instance", "seed").distinct().select("instance", F.col("seed").cast("double").alias("score"))
+        return one.select("instance", "p.side", "p.anchor", F.concat_ws(" ", "p.side", "p.pattern").alias("key"), F.lit(seed).alias("seed"))
+
+    graph = edges("seeds", 1).union(edges("candidates", 0)).groupBy("instance", "side", "anchor", "key").agg(F.count("*").alias("n"), F.max("seed").alias("seed"), F.min("seed").alias("least"))
+    graph = common.stage(spark, graph, "personal-graph")
+    beside = graph.where("least = 0").select("key").distinct()
+    scores = common.stage(spark, graph.where("seed = 1").select("instance").distinct().withColumn("score", F.lit(1.0)), "personal-seeds")
+    words = seeds = None
     for _ in range(rounds):
-        patterns = graph.join(scores, "instance").groupBy("side", "pattern", "all").agg(F.sum(F.col("n") * F.col("score")).alias("s")).select("side", "pattern", F.least(F.lit(0.999), F.col("s") / F.col("all")).alias("p"))
-        best = graph.join(patterns, ["side", "pattern"]).groupBy("instance", "side", "anchor").agg(F.max("seed").alias("seed"), F.max("p").alias("p"))
-        found = best.groupBy("instance").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log1p(-F.col("p"))))).alias("found"))
-        scores = common.stage(spark, found.select("instance", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("found")).alias("score")), "personal-scores")
-    seeds = graph.where("seed = 1").select("instance").distinct()
-    return scores.where(F.col("score") >= threshold).join(seeds, "instance", "left_anti")
+        # The patterns that known instances support; those that are new are counted.
+        known = scores.where(F.col("score") >= threshold).select("instance")
+        support = common.join_skewed(graph, known, "instance").groupBy("key").agg(F.count_distinct("instance").alias("seeds")).where(F.col("seeds") >= min_seeds).select("key")
+        support = support.join(beside, "key", "left_semi")
+        new = common.stage(spark, support if words is None else support.join(words, "key", "left_anti"), "personal-patterns")
+        if words is not None and new.isEmpty():
+            break
+        counted = new.withColumn("pattern", F.expr("substring(key, 3)"))
+        more = counted.join(occurrences(df, counted.select("pattern").distinct()), "pattern").select("key", "all")
+        words = common.stage(spark, more if words is None else words.union(more), "personal-words")
+        live = common.stage(spark, common.join_skewed(graph, words, "key"), "personal-live")
+        seeds = scores if seeds is None else seeds
+        shares = common.join_skewed(live, scores, "instance").groupBy("key", "all").agg(F.sum(F.col("n") * F.col("score")).alias("s"))
+        shares = shares.select("key", F.least(F.lit(0.999), F.col("s") / F.col("all")).alias("p"))
+        best = common.join_skewed(live, shares, "key").groupBy("instance", "side", "anchor").agg(F.max("p").alias("p"))
+        found = best.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("p"))))).alias("score"))
+        scores = common.stage(spark, found.join(seeds, "instance", "left_anti").union(seeds), "personal-scores")
+    return scores.where(F.col("score") >= threshold).join(seeds, "instance", "left_anti") if seeds is not None else scores.limit(0)
 
 
 def context_spans(scanned: DataFrame, instances: DataFrame) -> DataFrame:
@@ -234,14 +288,15 @@ def mask(df: DataFrame, **settings) -> DataFrame:
     """``df`` with every found span of ``text`` replaced by its kind in angle brackets; nulls stay."""
     scanned = scan(df)
     more = context_spans(scanned, discover(scanned, df, **settings))
-    keyed = df.withColumn("m_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(more, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("m_key") == F.col("m_hash")), "left").drop("m_doc", "m_hash", "m_key")
+    key, doc, text_hash, places = common.free_names(df, "key", "doc", "hash", "places")
+    keyed = df.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(more.toDF(doc, text_hash, places), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text_hash)), "left").select(*df.columns, places)
     columns, place = df.columns, df.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for (text, more) in common.arrow_rows([batch], "text", "more"):
+            for (text, more) in common.arrow_rows([batch], "text", places):
                 if text is not None:
                     spans = base_spans(text) + [(x["start"], x["end"], x["kind"]) for x in more or ()]
                     parts, at = [], 0
