@@ -65,6 +65,17 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return dealt.join(copied, [key, salt], how).drop(salt)
 
 
+#: Rows of a key column that are broadcast at most: some 20 MB.
+BROADCAST_ROWS = 250_000
+
+
+def join_sized(left: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``left`` semi-joined with the stored unique ``keys``: broadcast where their number allows it, else dealt out."""
+    if keys.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(keys), key, "left_semi")
+    return join_skewed(left, keys, key, "left_semi")
+
+
 def texts_of(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with null texts as empty ones."""
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))

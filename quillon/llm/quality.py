@@ -1,14 +1,20 @@
 """Quality rules: counts over each text, and cross-document line frequency per host.
 
 Lines are normalised (case, digits, white space) and hashed; for each host (``source``) the
-distinct texts that hold a line are counted. Lines that more than ``max_share`` of the host's
-distinct texts and more than ``min_texts`` hold are boilerplate and are taken out; a document
-is rejected when fewer than ``min_left`` words are left. Exact copies of a text count once, so
-a document isn't depleted because it was copied.
+distinct documents that hold a line are counted, told apart by their texts: exact copies are one
+document here, so that a document isn't depleted because it was copied. Lines are boilerplate if
+more than ``min_texts`` documents hold them, and more than ``max_share`` of the host's or more than
+``max_texts``. They are taken out, and a document is rejected when fewer than ``min_left`` words,
+the least that a document needs, are left.
+
+The text is read once, and what is known of each row is stored: the counts, and the hashes and
+sizes of its lines. All lines are dealt out once, as counts of (host, line); those that enough rows
+hold are few, and only for them texts are counted and rows looked up.
 
 Only DataFrame functions are used. Repeated 3-word windows are found inside each row, without
 a shuffle: window hashes are sorted together with their places. Null texts have no words and
-fail; a null source is a host of its own; repeated rows give repeated results.
+fail; a null source is a host of its own; null ids are kept; repeated rows give repeated results;
+further columns are ignored; an empty table gives no rows. A text may be as long as a row can be.
 """
 
 from __future__ import annotations
@@ -16,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm import common
+
 SPACE = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -23,7 +31,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_TEXTS = 20
 MAX_SHARE = 0.01
-MIN_LEFT = 5
+MAX_TEXTS = 1000
+MIN_LEFT = MIN_WORDS
 #: Bits of a packed number that hold a window's place.
 PLACE_BITS = 28
 
@@ -63,44 +72,50 @@ def with_repeats(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(F.when(F.size("like") > 0, _covered(places)), F.lit(0).cast("bigint"))).drop("hashes", "packed", "like", "exact")
 
 
-def counts(df: DataFrame) -> DataFrame:
-    """Per row of ``df`` (doc_id, text, source): the counts over its text, and ``base_failed``."""
+def _lines(text: Column, host: Column) -> Column:
+    """``key`` (hash of the host and the normalised line) and ``words`` of each line with a word."""
+    plain = F.lower(F.translate(text, "\t\x0b\x0c\r123456789", " " * 4 + "0" * 9))
+    plain = F.when(plain.contains("  "), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
+    bare = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.btrim(x, F.lit(" "))), lambda x: x != "")
+    return F.transform(bare, lambda x: F.struct(F.xxhash64(host, x).alias("key"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words")))
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """Per row of ``df`` (doc_id, text, source): the counts over its text, ``base_failed``, ``text_hash``, ``host`` and ``lines``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = df.select("doc_id", "source", text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    docs = docs.withColumn("host", F.xxhash64(F.col("source").isNull(), "source"))
     docs = docs.withColumn("words", words_of(F.col("text"))).withColumn("n_words", F.size("words").cast("bigint"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    docs = docs.withColumn("lines", lines)
+    docs = docs.withColumn("raw", F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
     docs = docs.withColumns(
         {
             "word_chars": F.length(F.translate("text", SPACE, "")).cast("bigint"),
             "n_symbols": (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint"),
-            "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"),
+            "n_dup_lines": (F.size("raw") - F.size(F.array_distinct("raw"))).cast("bigint"),
+            "lines": _lines(F.col("text"), F.col("host")),
         }
-    ).drop("text", "lines")
+    ).drop("text", "raw")
     docs = with_repeats(docs).drop("words")
     return docs.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def line_words(df: DataFrame) -> DataFrame:
-    """Rows (doc_id, source, text_hash, line, words): the words of each normalised line of each text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = df.select("doc_id", "source", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
-    bare = F.lower(F.btrim(F.regexp_replace(F.translate("raw", "123456789", "0" * 9), WORD_GAP, " "), F.lit(" ")))
-    rows = rows.withColumn("bare", bare).where("bare <> ''")
-    rows = rows.select("doc_id", "source", "text_hash", "place", F.xxhash64("bare").alias("line"), (F.length("bare") - F.length(F.translate("bare", " ", "")) + 1).alias("words"))
-    # Repeated rows of a document give each place once.
-    return rows.groupBy("doc_id", "source", "text_hash", "line").agg((F.sum("words") / F.count("place") * F.count_distinct("place")).cast("bigint").alias("words"))
+def counts(df: DataFrame) -> DataFrame:
+    """Per row of ``df`` (doc_id, text, source): the counts over its text, and ``base_failed``."""
+    return measured(df).drop("lines", "host")
 
 
-def judge(df: DataFrame, min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE, min_left: int = MIN_LEFT) -> DataFrame:
+def judge(df: DataFrame, min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE, max_texts: int = MAX_TEXTS, min_left: int = MIN_LEFT) -> DataFrame:
     """``counts`` with ``n_left`` (words outside boilerplate lines) and ``kept``."""
-    own = counts(df)
-    lines = line_words(df)
-    held = lines.groupBy("source", "line").agg(F.count_distinct("text_hash").alias("n_texts")).where(F.col("n_texts") > min_texts)
-    hosts = df.groupBy("source").agg(F.count_distinct(F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("host_texts"))
-    common_lines = held.alias("h").join(hosts.alias("o"), F.col("h.source").eqNullSafe(F.col("o.source"))).where(F.col("n_texts") > F.col("host_texts") * max_share).select(F.col("h.source").alias("b_source"), F.col("h.line").alias("b_line"))
-    gone = lines.join(common_lines, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("line") == F.col("b_line")))
-    gone = gone.groupBy(F.col("doc_id").alias("g_doc"), F.col("source").alias("g_source"), F.col("text_hash").alias("g_hash")).agg(F.sum("words").alias("n_gone"))
-    same = F.col("doc_id").eqNullSafe(F.col("g_doc")) & F.col("source").eqNullSafe(F.col("g_source")) & (F.col("text_hash") == F.col("g_hash"))
-    judged = own.join(gone, same, "left").withColumn("n_left", F.col("n_words") - F.coalesce("n_gone", F.lit(0)))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= min_left)).drop("g_doc", "g_source", "g_hash", "n_gone")
+    spark = df.sparkSession
+    own = common.stage(spark, measured(df).withColumn("row", F.monotonically_increasing_id()), "quality-rows")
+    keys = own.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
+    # Rows are at least as many as texts, so no line of too many texts is missing here.
+    often = common.stage(spark, keys.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > min_texts).select("key"), "quality-often")
+    texts = common.join_sized(keys, often, "key").groupBy("key", "host").agg(F.count_distinct("text_hash").alias("n_texts")).where(F.col("n_texts") > min_texts)
+    hosts = own.groupBy("host").agg(F.count_distinct("text_hash").alias("host_texts"))
+    texts = texts.join(hosts, "host").where((F.col("n_texts") > F.col("host_texts") * max_share) | (F.col("n_texts") > max_texts))
+    boilerplate = common.stage(spark, texts.select("key"), "quality-boilerplate")
+    lines = own.select("row", F.inline("lines"))
+    gone = common.join_sized(lines, boilerplate, "key").groupBy("row").agg(F.sum("words").alias("n_gone"))
+    judged = own.drop("lines", "host").join(gone, "row", "left").withColumn("n_left", F.col("n_words") - F.coalesce("n_gone", F.lit(0)))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= min_left)).drop("row", "n_gone")

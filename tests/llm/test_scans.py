@@ -72,6 +72,36 @@ def test_boilerplate_only_documents_are_depleted(spark):
     assert not kept[100] and kept[101] and not kept[102]
 
 
+def brute_verdicts(rows):
+    """(n_left, kept) by row, for rows of doc_id, text, source."""
+    def lines(text):
+        plain = (re.sub(r"[\x20\x09\x0B-\x0D]+", " ", re.sub("[1-9]", "0", x)).strip(" ").lower() for x in (text or "").split("\n"))
+        return [x for x in plain if x]
+
+    holders, hosts = {}, {}
+    for _, text, source in rows:
+        hosts.setdefault(source, set()).add(text or "")
+        for x in lines(text):
+            holders.setdefault((source, x), set()).add(text or "")
+    bad = {k for k, v in holders.items() if len(v) > quality.MIN_TEXTS and (len(v) > len(hosts[k[0]]) * quality.MAX_SHARE or len(v) > quality.MAX_TEXTS)}
+    for doc, text, source in rows:
+        base = brute_quality(text or "")
+        left = base[0] - sum(x.count(" ") + 1 for x in lines(text) if (source, x) in bad)
+        yield doc, left, not base[5] and left >= quality.MIN_LEFT
+
+
+def test_verdicts_match_brute_force(spark, docs, sf):
+    some = docs.select("doc_id", "text", "source").union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source"))
+    own = lambda k, n: " ".join(f"own{k}x{chr(97 + i % 26)}{i // 26}" for i in range(n))
+    shared = [(1000 + k, f"{own(chr(97 + k % 26), k)}\nall  RIGHTS reserved 20{k}\n\tall rights reserved 2099\n" + "see the shared notice " * 20, None) for k in range(40, 80)]
+    some = some.union(spark.createDataFrame(shared, some.schema))
+    got = sorted((r.doc_id or -1, r.n_left, r.kept) for r in quality.judge(some).collect())
+    wanted = sorted((d or -1, n, k) for d, n, k in brute_verdicts([tuple(r) for r in some.collect()]))
+    assert got == wanted
+    assert {k for d, _, k in got if d >= 1000} == {True, False}
+    assert quality.judge(some.limit(0)).count() == 0
+
+
 def test_copies_do_not_deplete_each_other(spark):
     text = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(k, text, "h") for k in range(200)], "doc_id long, text string, source string")
