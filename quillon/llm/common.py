@@ -30,10 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table stays until ``discard`` or ``clear``, since results are lazy and may still read it.
+    """
     path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, df._stored_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all stored tables: for callers whose results are written."""
+    _delete(spark, f"{shared_dir(spark)}/quillon")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
@@ -48,16 +69,21 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
-def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 64) -> DataFrame:
+def hot_values(left: DataFrame, key: str) -> DataFrame:
+    """(key): the values with over a thousandth of the rows of ``left``, so fewer than a thousand of them."""
+    least = left.count() // 1000
+    return left.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > least).select(key)
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None, salts: int = 64) -> DataFrame:
     """``left`` joined with ``right``, whose values of ``key`` are unique, where some values may hold much of ``left``.
 
-    Values with over a thousandth of the rows of ``left``, so fewer than a thousand of them, are
-    found by partial counts and broadcast; their rows are dealt to ``salts`` parts, and the rows of
-    ``right`` that they meet are copied to each part. ``left`` is read twice: give a stored table.
+    The values ``hot`` (by default ``hot_values``, for which ``left`` should be a stored table; at
+    most a thousand) are broadcast; their rows are dealt to ``salts`` parts, and the rows of
+    ``right`` that they meet are copied to each part.
     """
     hot_key, salt = free_names(left.join(right.limit(0), key, "left"), "hot_key", "salt")
-    least = left.count() // 1000
-    hot = F.broadcast(left.groupBy(F.col(key).alias(hot_key)).agg(F.count("*").alias(salt)).where(F.col(salt) > least).select(hot_key))
+    hot = F.broadcast((hot_values(left, key) if hot is None else hot).select(F.col(key).alias(hot_key)))
     part = F.when(F.col(hot_key).isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     dealt = left.join(hot, F.col(key) == F.col(hot_key), "left").withColumn(salt, part).drop(hot_key)
     parts = F.when(F.col(hot_key).isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
@@ -124,6 +150,9 @@ class Emitter:
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
+#: Words that a cache remembers: a worker's memory is bounded by it.
+KEEP = 500_000
+
 #: A space inside a run of white space that isn't its last character: there no text may be cut.
 _UNSAFE_CUT = re.compile(r"\s (?:\s|\Z)")
 
@@ -141,10 +170,18 @@ class _Known(dict):
 
     def __init__(self, encode: LibraryEncoder):
         self.one, self.letters, self.whole, self.lead = encode.one, encode.letters, str, ""
+        self.before: dict[str, bytes] = {}
         self.marks = {mark: encode.one(mark) for mark in _MARKS}
 
+    def turn(self) -> None:
+        """Start anew, with what was known so far to look words up in."""
+        self.before = dict(self)
+        self.clear()
+
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha() and not _PLAIN.search(word):
+        if (found := self.before.get(word)) is not None:
+            pass
+        elif word.isalpha() and not _PLAIN.search(word):
             found = self.letters(self.lead, word if self.lead else word.lower())
         elif word[-1:] in _MARKS and word[:-1].isalpha() and not _PLAIN.search(word):
             found = self[word[:-1]] + self.marks[word[-1]]
@@ -161,10 +198,11 @@ class WordCache:
     for a single string. A text is cut before
     spaces that start a new pre-token of the byte-level pattern, so the joined encodings are
     those of the whole text; where a cut isn't safe, the whole text is encoded at once. At
-    most ``keep`` words are remembered, and those of the block at hand.
+    most ``keep`` words are remembered (twice as many with ``one``, where words that are still
+    in use outlive a turn), and those of the block at hand.
     """
 
-    def __init__(self, encode, keep: int = 1_000_000):
+    def __init__(self, encode, keep: int = KEEP):
         self.encode, self.keep = encode, keep
         self.one = getattr(encode, "one", None)
         self.known: dict[str, bytes] = _Known(encode) if self.one else {}
@@ -188,7 +226,7 @@ class WordCache:
     def _joined(self, cut: list[list[str]], whole: Callable[[str], str], lead: str) -> Iterator[bytes]:
         known = self.known
         if len(known) > self.keep:
-            known.clear()
+            known.turn() if self.one else known.clear()
         if self.one:
             known.whole, known.lead = whole, lead
             for words in cut:
@@ -233,7 +271,7 @@ class LibraryEncoder:
     vocabulary come lower-cased. ``kind``: the array type of the ids.
     """
 
-    def __init__(self, path: str, keep: int = 500_000, kind: str = "I"):
+    def __init__(self, path: str, keep: int = KEEP, kind: str = "I"):
         import json
         import os
 

@@ -11,14 +11,24 @@ No group is expanded into all its pairs. First each list links its members to on
 one that the most lists know; the connected components of verified links make one class each.
 Members of lists that still hold several components are then listed anew, under the rarest
 values of their full sets (exact prefix filtering), and only members of such a list that lie in
-different components are paired: every link that could still join two components is tested.
+different components are paired: every link between members of a list that could still join two
+components is tested.
+
+What sketches may lose: of the K least values of a union, the two sets share as many as a draw
+without return, so fewer than ``least_shared`` of them with odds below ``MISS`` for a pair at the
+threshold, and less above it. Sets of fewer than K shingles are whole in their sketches.
+
+Lists, links and equal sets may be large: their rows are dealt out in parts, and what each row
+meets is copied to every part.
 
 Texts without words (null, empty) link with nothing. Rows that share a doc_id are one node;
 rows with a null doc_id are kept and link with nothing. Repeated rows give repeated results.
+Further columns are ignored, an empty table gives no rows, and a text may be as long as a row can be.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,10 +41,10 @@ from pyspark.sql import functions as F
 from quillon.llm import common
 
 K = 32
-#: Sketches of K that reach the threshold share at least so many values, but for odds below 1e-8.
-SHARED = 16
-#: Estimates this much below the threshold are still verified: over five standard deviations.
-SLACK = 0.35
+#: Odds that sketches lose a pair at the threshold, at most.
+MISS = 1e-9
+#: Rows of one value that go to one part of a join.
+PART = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,26 +110,57 @@ def signatures(df: DataFrame, words: int) -> DataFrame:
     return common.texts_of(df.select("doc_id", "text")).mapInArrow(run, "doc_id long, n long, sig binary, sketch array<long>")
 
 
-def prefix_lists(rows: DataFrame, overlap: Column) -> DataFrame:
-    """Of the rows (value, node, n, k), those of each node's rarest values.
+def least_shared(percent: int) -> int:
+    """Of the K least values of a union, a pair at the threshold shares at least so many, but for odds below MISS."""
+    p, below = percent / 100, 0.0
+    for shared in range(K + 1):
+        below += math.comb(K, shared) * p**shared * (1 - p) ** (K - shared)
+        if below > MISS:
+            return max(1, shared)
+    return K
+
+
+def least_shared_of(size: int, percent: int) -> int:
+    """The retained values that a set of ``size`` shares at least with any set that reaches the threshold."""
+    if size >= K:
+        return least_shared(percent)
+    # Sets of up to ``size / threshold`` reach it; of those beyond K values the largest are not retained.
+    most = size * 100 // percent
+    overlap = lambda other: -(-percent * (size + other) // (100 + percent)) - max(0, other - K)
+    return max(1, min(overlap(other) for other in range(-(-size * percent // 100), most + 1)))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (value, node, c) with the part of their value that they belong to; c bounds a value's rows."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("node"), F.floor(F.col("c") / PART) + 1).cast("int"))
+
+
+def _copied(values: DataFrame) -> DataFrame:
+    """Rows (value, c) copied to every part of their value."""
+    return values.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.col("c") / PART).cast("int"))))
+
+
+def prefix_lists(rows: DataFrame, overlap: Column, total: int) -> DataFrame:
+    """Of the ``total`` rows (value, node, n, k), those of each node's rarest values.
 
     Two nodes that share at least ``overlap`` of their values (k of them listed, the same order
     of rarity for all) share one of these. Values that one node holds are left out. ``place``:
     how many of its shared values are no rarer than this one. ``weight``: how many nodes its
-    values lead to.
+    values lead to. ``c``: how many nodes hold the value.
     """
-    lists = rows.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
-    shared = rows.join(lists, "value")
+    lists = common.stage(rows.sparkSession, rows.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), "values")
+    shared = common.join_skewed(rows, lists, "value", hot=lists.where(F.col("c") > total // 1000).select("value"))
     w = W.partitionBy("node").orderBy(F.desc("c"), F.desc("value"))
     ranked = shared.withColumn("place", F.row_number().over(w)).withColumn("weight", F.sum("c").over(W.partitionBy("node")))
-    return ranked.where(F.col("place") >= overlap).select("value", "node", "n", "place", "weight")
+    return ranked.where(F.col("place") >= overlap).select("value", "node", "n", "place", "weight", "c")
 
 
 def sketch_lists(nodes: DataFrame, percent: int) -> DataFrame:
     """``prefix_lists`` of the retained values."""
     rows = nodes.select("node", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
-    # With k < K the sketch is the whole set; the margin of 2 is for sets a little larger than K.
-    return prefix_lists(rows, F.when(F.col("k") >= K, F.lit(SHARED)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("k") * percent / 100).cast("int") - 2)))
+    least = F.element_at(F.array(*(F.lit(least_shared_of(k, percent)) for k in range(1, K + 1))), F.col("k"))
+    total = nodes.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    return prefix_lists(rows, least, total)
 
 
 def whole_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -133,7 +174,7 @@ def whole_lists(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), node)), pa.array(np.full(len(some), n))], ["value", "node", "n"])
 
     rows = members.join(sets, "node").select("node", "n", "set").mapInArrow(run, "value long, node long, n long")
-    return prefix_lists(rows, F.ceil(F.col("n") * percent / 100))
+    return prefix_lists(rows, F.ceil(F.col("n") * percent / 100), members.agg(F.sum("n")).first()[0] or 0)
 
 
 def _can_reach(a: str, b: str, percent: int) -> Column:
@@ -147,8 +188,8 @@ def _can_reach(a: str, b: str, percent: int) -> Column:
 
 def _with_partners(lists: DataFrame, percent: int) -> DataFrame:
     """Members of lists that hold several components, without those whose place reaches no size there."""
-    ends = lists.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo <> hi")
-    found = lists.join(ends, "value").where(F.col("place") * (100 + percent) >= percent * (F.col("n") + F.col("least")))
+    ends = lists.groupBy("value", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo <> hi")
+    found = _dealt(lists).join(_copied(ends).drop("c"), ["value", "part"]).where(F.col("place") * (100 + percent) >= percent * (F.col("n") + F.col("least")))
     return found.select(*lists.columns)
 
 
@@ -156,17 +197,19 @@ def _near_in_size(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose union sketch doesn't rule them out."""
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose union sketch doesn't rule them out; ``hot``: the values of a that many of them have."""
     own = nodes.select("node", "sketch")
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    both = common.join_skewed(pairs, own.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a", hot=hot).join(own.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     both = both.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K))
     both = both.withColumn("hits", F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")))
-    return both.where(F.col("hits") >= F.size("u") * (percent / 100 - SLACK)).select("a", "b")
+    # A union of fewer than K values is whole.
+    enough = F.when(F.size("u") < K, 100 * F.col("hits") >= percent * F.size("u")).otherwise(F.col("hits") >= least_shared(percent))
+    return both.where(enough).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union, on the full sets."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
+    """The pairs with 100 * intersection >= percent * union, on the full sets; ``hot`` as for ``likely``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +221,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], ["a", "b"])
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    both = common.join_skewed(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a", hot=hot).join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -192,9 +235,23 @@ def components(edges: DataFrame) -> DataFrame:
         better = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("now"))
         jumped = better.join(labels.select(F.col("node").alias("now"), F.col("comp").alias("jump")), "now", "left")
         following = common.stage(spark, jumped.select("node", F.least("now", F.coalesce("jump", "now")).alias("comp"), "was"), "labels")
-        if following.where("comp <> was").limit(1).count() == 0:
-            return following.select("node", "comp")
+        settled = following.where("comp <> was").isEmpty()
+        common.discard(labels)
         labels = following.select("node", "comp")
+        labels._stored_at = following._stored_at
+        if settled:
+            common.discard(both)
+            return labels
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The stored pairs (a, b) that are links; few of them may have a third of all."""
+    spark = pairs.sparkSession
+    pairs = common.stage(spark, pairs.distinct(), f"{name}-pairs")
+    hot = common.stage(spark, common.hot_values(pairs, "a"), f"{name}-hot")
+    links = common.stage(spark, verified(likely(pairs, nodes, percent, hot), sets, percent, hot), f"{name}-links")
+    common.discard(pairs, hot)
+    return links
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -215,27 +272,30 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     texts = df.where(F.col("text").isNotNull()).select("doc_id", "text").join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = common.stage(spark, texts.mapInArrow(run, "node long, set binary").dropDuplicates(), "sets")
 
-    centre = lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"), F.col("n").alias("size"))).alias("c"))
-    star = lists.join(centre, "value").select((-F.col("c.m")).alias("a"), F.col("c.size").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    star = star.where((F.col("a") != F.col("b")) & _near_in_size("na", "nb", percent)).select("a", "b").distinct()
-    first = common.stage(spark, verified(likely(star, nodes, percent), sets, percent), "star-links")
+    centre = lists.groupBy("value", "c").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"), F.col("n").alias("size"))).alias("to"))
+    star = _dealt(lists).join(_copied(centre).drop("c"), ["value", "part"]).select((-F.col("to.m")).alias("a"), F.col("to.size").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    star = star.where((F.col("a") != F.col("b")) & _near_in_size("na", "nb", percent)).select("a", "b")
+    first = _links(star, nodes, sets, percent, "star")
     classes = components(first)
 
-    placed = lists.join(classes, "node", "left").select("value", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
-    members = common.stage(spark, placed.join(mixed, "value", "left_semi").select("node", "n", "comp").distinct(), "mixed-members")
+    placed = common.stage(spark, lists.join(classes, "node", "left").select("value", "node", "n", "c", F.coalesce("comp", "node").alias("comp")), "placed")
+    mixed = placed.groupBy("value", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value", "c")
+    members = _dealt(placed).join(_copied(mixed).drop("c"), ["value", "part"], "left_semi").select("node", "n", "comp").distinct()
+    members = common.stage(spark, members, "mixed-members")
+    common.discard(placed, lists, classes)
     whole = whole_lists(members, sets, percent).join(members.select("node", "comp"), "node")
     whole = common.stage(spark, whole, "whole-lists")
-    rest = common.stage(spark, _with_partners(_with_partners(whole, percent), percent), "mixed-lists")
-    left, right = rest.alias("l"), rest.alias("r")
-    across = left.join(right, (F.col("l.value") == F.col("r.value")) & (F.col("l.comp") < F.col("r.comp")) & _near_in_size("l.n", "r.n", percent) & _can_reach("l", "r", percent))
-    across = across.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    second = common.stage(spark, verified(likely(across, nodes, percent), sets, percent), "cross-links")
+    rest = _with_partners(_with_partners(whole, percent), percent)
+    rest = common.stage(spark, rest.drop("c").join(rest.groupBy("value").agg(F.count("*").alias("c")), "value"), "mixed-lists")
+    left, right = _dealt(rest).alias("l"), _copied(rest).alias("r")
+    across = left.join(right, (F.col("l.value") == F.col("r.value")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.comp") < F.col("r.comp")) & _near_in_size("l.n", "r.n", percent) & _can_reach("l", "r", percent))
+    second = _links(across.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")), nodes, sets, percent, "cross")
+    common.discard(members, whole, rest, sets)
     joined = components(first.union(second))
 
     by_sig = nodes.join(joined, "node", "left").select("sig", F.coalesce("comp", "node").alias("component_id"))
     # Nodes are the least doc_ids of their sets, so a component's least node is its least doc_id.
-    found = docs.join(by_sig, "sig", "left")
+    found = common.join_skewed(docs, by_sig, "sig", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     found = found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -287,10 +287,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]
     return sorted((r.text, r.toxic) for r in rows)
 
 
-def score(df: DataFrame, model: Model | None) -> DataFrame:
-    """``df`` with a column ``toxic_score`` (0 to 1)."""
+def score(df: DataFrame, model: Model | None, column: str = "toxic_score") -> DataFrame:
+    """``df`` with a ``column`` of scores (0 to 1), in place of one of that name."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    df = df.drop(column)
     schema = df.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,13 +304,13 @@ def score(df: DataFrame, model: Model | None) -> DataFrame:
                 if own is None:
                     scores += [0.0] * len(bags)
                     continue
-                if len(known) > 1_000_000:
+                if len(known) > 2 * common.KEEP:
                     known.clear()
                 new = sorted({w for b in bags for w in b if w not in known})
                 for at in range(0, len(new), 20_000):
                     some = new[at : at + 20_000]
                     known.update(zip(some, own.margins(some).tolist(), strict=True))
                 scores += [own.text_score(_worst(map(known.__getitem__, b))) for b in bags]
-            yield batch.append_column("toxic_score", pa.array(scores, pa.float64()))
+            yield batch.append_column(column, pa.array(scores, pa.float64()))
 
-    return df.mapInArrow(run, type(schema)([*schema.fields]).add("toxic_score", "double"))
+    return df.mapInArrow(run, type(schema)([*schema.fields]).add(column, "double"))
