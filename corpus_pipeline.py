@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run``
 writes each stage's rows to the shared folder and reads them again for the next one.
+
+In every stage a null text counts as empty, a null id or source is a value of its own, rows that
+repeat fare alike, columns beside doc_id, text and source are kept as they are, whatever their
+names, an empty table gives no rows, and texts are read whole.
 """
 
 from __future__ import annotations
@@ -14,20 +18,22 @@ from quillon.llm import common, near_dup, packing, personal, quality, toxicity
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    gone = quality.judge(docs).where("NOT kept").select(F.col("doc_id").alias("q_doc"), F.col("text_hash").alias("q_hash"), F.col("source").alias("q_source")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("q_doc")) & F.col("source").eqNullSafe(F.col("q_source")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("q_hash"))
+    """Documents that the quality rules keep; empty texts have too few words and go."""
+    doc, source, text_hash = common.free_names(docs, "q_doc", "q_source", "q_hash")
+    gone = quality.judge(docs).where("NOT kept").select("doc_id", "source", "text_hash").distinct().toDF(doc, source, text_hash)
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(text_hash))
     return docs.join(gone, same, "left_anti")
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity stays below the threshold; trained on all labels of documents here."""
+    """Documents whose toxicity stays below the threshold; trained on all labels of documents here. Without labels all stay."""
     model = toxicity.train(toxicity.labelled_sample(docs, common.table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).where(F.col("toxic_score") < toxicity.PREDICT).drop("toxic_score")
+    (score,) = common.free_names(docs, "toxic_score")
+    return toxicity.score(docs, model, score).where(F.col(score) < toxicity.PREDICT).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, a similarity of 0.8."""
+    """One document of each group of near-duplicates: five words, a similarity of 0.8. Those without words or id stay."""
     gone = near_dup.near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
