@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillon.functions import placement
-from quillon.operators import solve
+from quillon.operators import assign, solve
 from quillon.plans import catalogue, dialect
 from quillon.plans.evaluate import Evaluation
 from quillon.sources import tables
@@ -68,17 +68,17 @@ def test_search_matches_brute_force():
             if all(load[b] <= capacity[b]["cpu"] for b in bins) and all(len({choice[tasks.index(t)] for t in g}) == len(g) for g in apart):
                 gain = sum(value[t, c] for t, c in zip(tasks, choice, strict=True))
                 best = gain if best is None else max(best, gain)
-        status, found = solve.search(allowed, demand, capacity, apart, value)
+        status, found = assign.place(allowed, demand, capacity, apart, value)
         assert status == (solve.OPTIMAL if best is not None else solve.INFEASIBLE)
         assert best is None or sum(value[t, b] for t, b in found.items()) == best
-        assert bool(solve.core(allowed, demand, capacity, apart)) == (best is None)
+        assert bool(assign.core(allowed, demand, capacity, apart)) == (best is None)
 
 
 def test_assign_by_component(spark):
     pairs = spark.createDataFrame([(1, "a", "x", 1), (1, "a", "y", 5), (1, "b", "y", 4), (2, "c", "z", 1)], "component long, task string, bin string, value long")
     demands = spark.createDataFrame([(1, "a", "cpu", 2), (1, "b", "cpu", 2), (2, "c", "cpu", 9)], "component long, task string, resource string, amount long")
     capacities = spark.createDataFrame([(1, "x", "cpu", 2), (1, "y", "cpu", 3), (2, "z", "cpu", 5)], "component long, bin string, resource string, amount long")
-    rows = {(r.component, r.task): (r.status, r.bin) for r in solve.assign(pairs, demands, capacities).collect()}
+    rows = {(r.component, r.task): (r.status, r.bin) for r in assign.assign(pairs, demands, capacities).collect()}
     assert rows == {(1, "a"): ("OPTIMAL", "x"), (1, "b"): ("OPTIMAL", "y"), (2, None): ("INFEASIBLE", None)}
 
 
