@@ -13,6 +13,7 @@ spreads (task, grp, key, max_skew).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The address that stands for every address of a node (a fixed value).
@@ -139,12 +140,10 @@ def spread_bounds(fixed: DataFrame, spreads: DataFrame, labels: DataFrame) -> Da
 def largest(spare: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` nodes with the most left of each resource; ties go to the smaller node.
 
-    Ranks come from one top-k aggregation per resource, not from sorting all nodes in one task.
+    Each task keeps its own best rows of a resource before they are dealt out (a window group limit).
     """
-    entry = F.struct((-F.col("capacity")).alias("lack"), "node")
-    blocks = spare.groupBy("resource", (F.xxhash64("node") % 64).alias("block")).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, limit).alias("best"))
-    best = blocks.groupBy("resource").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, limit).alias("best"))
-    return best.select("resource", F.explode("best").alias("b")).select("b.node", "resource", (-F.col("b.lack")).alias("capacity"))
+    best = W.partitionBy("resource").orderBy(F.desc("capacity"), "node")
+    return spare.withColumn("rank__", F.row_number().over(best)).where(F.col("rank__") <= limit).select("node", "resource", "capacity")
 
 
 def scoped(spare: DataFrame, named: list[DataFrame], limit: int) -> DataFrame:

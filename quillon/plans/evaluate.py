@@ -116,3 +116,14 @@ class Evaluation:
         for r in rows[1:]:
             found = found.union(r)
         return found
+
+
+def orphans(child: DataFrame, column: str, parent: DataFrame, target: str) -> DataFrame:
+    """Rows of ``child`` whose foreign key ``column`` no row of ``parent`` has; null refers to nothing."""
+    known = parent.select(parent[target].alias(column)).distinct()
+    return child.where(child[column].isNotNull()).join(known, column, "left_anti")
+
+
+def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
+    """Values of a primary key that several rows have, and how many (``n``)."""
+    return df.groupBy(*key).count().withColumnRenamed("count", "n").where("n > 1")
