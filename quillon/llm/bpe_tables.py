@@ -9,9 +9,17 @@ last round is its encoding. Only words that the worker hasn't met lately are enc
 Decoding joins token rows with the vocabulary and concatenates each document's byte strings in
 order of position. Bytes travel as the characters of the same numbers, so any token is valid.
 
+A word of n bytes takes up to n rounds, so a long one is encoded in overlapping pieces. Two
+encodings of neighbouring pieces are joined at a token that both have at the same place. Any two
+neighbours of the joined tokens are then neighbours in one piece's encoding; a merge across them
+would have happened there too, so the joined tokens are the word's own encoding. Where pieces have
+no such token (repeated characters, out of step), the word is contracted whole, in each round at
+all places of its least pair at once: they come next one by one anyway, unless the merged token
+could take part in a merge of lower rank, in which case only the leftmost place is contracted.
+
 A pair's rank is that of its concatenation, as in rank files. Null texts count as empty;
-repeated rows give repeated results; a null doc_id is kept. A word of n bytes takes up to n
-rounds, so a single word of many thousand bytes is slow, yet its result is whole.
+repeated rows give repeated results; a null doc_id is kept; further columns are ignored; an empty
+table gives no rows. The database works in memory and writes no files.
 """
 
 from __future__ import annotations
@@ -26,9 +34,11 @@ from pyspark.sql import DataFrame
 
 from quillon.llm import common
 
-#: Bytes of new words, and tokens to decode, that one query takes.
-ENCODE_BYTES = 400_000
+#: Squared bytes of new words (their rows over all rounds), and tokens to decode, that one query takes.
+ENCODE_ROWS = 4_000_000
 DECODE_TOKENS = 400_000
+#: Words of more bytes are encoded in pieces of PIECE bytes, each of which repeats the last OVERLAP bytes of the one before.
+LONG, PIECE, OVERLAP = 96, 48, 16
 
 CONTRACT = """
 WITH RECURSIVE state(round, word, place, id) AS (
@@ -51,6 +61,32 @@ SELECT word, id FROM (SELECT *, max(round) OVER (PARTITION BY word) AS final FRO
 WHERE round = final ORDER BY word, place
 """
 
+CONTRACT_WHOLE = """
+WITH RECURSIVE state(round, word, place, id) AS (
+    SELECT 0, word, place, id FROM parts
+  UNION ALL
+    (WITH pairs AS (
+        SELECT round, word, place, id, lead(id) OVER w AS after, row_number() OVER w AS seq
+        FROM state WINDOW w AS (PARTITION BY word ORDER BY place)),
+     hits AS (
+        SELECT word, seq, merged, safe, min(merged) OVER (PARTITION BY word) AS least
+        FROM pairs JOIN merges ON pairs.id = merges.first AND pairs.after = merges.second),
+     runs AS (
+        SELECT word, seq, merged, safe, row_number() OVER (PARTITION BY word ORDER BY seq) AS nth,
+               seq - row_number() OVER (PARTITION BY word ORDER BY seq) AS run
+        FROM hits WHERE merged = least),
+     picked AS (
+        SELECT word, seq, merged FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY seq) AS step FROM runs)
+        WHERE step % 2 = 1 AND (safe OR nth = 1))
+     SELECT round + 1, pairs.word, place, coalesce(picked.merged, id)
+     FROM pairs LEFT JOIN picked ON pairs.word = picked.word AND pairs.seq = picked.seq
+     LEFT JOIN picked AS gone ON pairs.word = gone.word AND pairs.seq = gone.seq + 1
+     WHERE gone.word IS NULL AND pairs.word IN (SELECT word FROM picked))
+)
+SELECT word, id FROM (SELECT *, max(round) OVER (PARTITION BY word) AS final FROM state)
+WHERE round = final ORDER BY word, place
+"""
+
 DECODE = """
 SELECT doc, string_agg(chars, '' ORDER BY place) AS text
 FROM tokens JOIN vocabulary USING (id) GROUP BY doc
@@ -72,10 +108,14 @@ class Codec:
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         first, second, merged = (np.array(c, np.int32) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int32),) * 3
-        self._load("merges", {"first": pa.array(first), "second": pa.array(second), "merged": pa.array(merged)})
+        # Tokens that can take part in a merge of lower rank than their own.
+        early = np.unique(np.concatenate([first[first > merged], second[second > merged]]))
+        self._load("merges", {"first": pa.array(first), "second": pa.array(second), "merged": pa.array(merged), "safe": pa.array(~np.isin(merged, early))})
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
         self._load("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
         self.words: dict[str, bytes] = {}
         self.cache = common.WordCache(self.encode_pieces)
@@ -85,31 +125,68 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def contract(self, words: list[bytes]) -> list[bytes]:
+    def contract(self, words: list[bytes], query: str = CONTRACT) -> list[bytes]:
         """The ids (little-endian 32-bit) of each of some non-empty words, by one recursive query."""
         lengths = np.array([len(w) for w in words])
         data = np.frombuffer(b"".join(words), np.uint8)
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self._load("parts", {"word": pa.array(word), "place": pa.array(place.astype(np.int64)), "id": pa.array(self.byte_ids[data])})
-        found = self.db.execute(CONTRACT).fetchnumpy()
+        found = self.db.execute(query).fetchnumpy()
         ids, counts = np.asarray(found["id"]).astype("<u4"), np.bincount(np.asarray(found["word"]), minlength=len(words))
         ends = np.cumsum(counts)
         return [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
+    def contract_all(self, words: list[bytes]) -> list[bytes]:
+        """``contract`` of any number of words, in queries of bounded size."""
+        out, group, rows = [], [], 0
+        for i, w in enumerate(words):
+            group.append(w)
+            rows += len(w) ** 2
+            if rows >= ENCODE_ROWS or i == len(words) - 1:
+                out += self.contract(group)
+                group, rows = [], 0
+        return out
+
+    def contract_long(self, word: bytes) -> bytes:
+        """The ids of a long word: pieces, joined where neighbours agree."""
+        for scale in (1, 4):
+            size, step = PIECE * scale, (PIECE - OVERLAP) * scale
+            starts = range(0, max(1, len(word) - OVERLAP * scale), step)
+            pieces = [word[at : at + size] for at in starts]
+            known = dict.fromkeys(pieces)
+            known.update(zip(known, self.contract_all(list(known)), strict=True))
+            if (found := self._joined(list(starts), [known[p] for p in pieces])) is not None:
+                return found
+        return self.contract([word], CONTRACT_WHOLE)[0]
+
+    def _joined(self, starts: list[int], encoded: list[bytes]) -> bytes | None:
+        """The encodings of overlapping pieces as one; None if two neighbours share no token."""
+        out: list[np.ndarray] = []
+        ids = np.frombuffer(encoded[0], "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        for start, data in zip(starts[1:], encoded[1:], strict=True):
+            more = np.frombuffer(data, "<u4")
+            more_ends = start + np.cumsum(self.sizes[more])
+            # A token is told by its place and size; the same bytes have the same id.
+            most = int(self.sizes.max()) + 1
+            here, there = ends * most + self.sizes[ids], more_ends * most + self.sizes[more]
+            _, left, right = np.intersect1d(here, there, assume_unique=True, return_indices=True)
+            if not len(left):
+                return None
+            out.append(ids[: left[0]])
+            ids, ends = more[right[0] :], more_ends[right[0] :]
+        return np.concatenate([*out, ids]).astype("<u4").tobytes()
+
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece: each match of the pattern is encoded separately."""
         cut = [self.split(p) for p in pieces]
         new = list(dict.fromkeys(w for words in cut for w in words if w not in self.words))
-        group: list[str] = []
-        size = 0
-        for i, w in enumerate(new):
-            group.append(w)
-            size += len(w)
-            if size >= ENCODE_BYTES or i == len(new) - 1:
-                self.words.update(zip(group, self.contract([x.encode() for x in group]), strict=True))
-                group, size = [], 0
-        out = [b"".join(map(self.words.__getitem__, words)) for words in cut]
+        coded = [w.encode() for w in new]
+        short = [i for i, w in enumerate(coded) if len(w) <= LONG]
+        self.words.update(zip((new[i] for i in short), self.contract_all([coded[i] for i in short]), strict=True))
+        long = {w: self.contract_long(x) for w, x in zip(new, coded, strict=True) if len(x) > LONG}
+        out = [b"".join(long[w] if w in long else self.words[w] for w in words) for words in cut]
         if len(self.words) > self.cache.keep:
             self.words.clear()
         return out

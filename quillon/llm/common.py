@@ -152,6 +152,8 @@ class Emitter:
 
 #: Words that a cache remembers: a worker's memory is bounded by it.
 KEEP = 500_000
+#: Longer words are encoded each time they occur.
+WORD_CHARS = 1000
 
 #: A space inside a run of white space that isn't its last character: there no text may be cut.
 _UNSAFE_CUT = re.compile(r"\s (?:\s|\Z)")
@@ -187,7 +189,8 @@ class _Known(dict):
             found = self[word[:-1]] + self.marks[word[-1]]
         else:
             found = self.one(self.whole(word))
-        self[word] = found
+        if len(word) <= WORD_CHARS:
+            self[word] = found
         return found
 
 
@@ -236,6 +239,9 @@ class WordCache:
         known.update(zip(new, self.encode([whole(w) for w in new]), strict=True))
         for words in cut:
             yield b"".join(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > WORD_CHARS:
+                del known[w]
 
 
 class _Shown(dict):
