@@ -72,17 +72,17 @@ def labelled_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     return ids.select(random.alias("text"), F.lit(1).alias("label")).union(ids.select(plain.alias("text"), F.lit(0).alias("label")))
 
 
-def _code(text: Column, at: Column) -> Column:
-    """1 to 95 for the printable ASCII character at the place, 0 for any other and beyond the ends."""
-    code = F.ascii(F.substring(text, at, F.lit(1)))
-    return F.when((at > 0) & (code >= 32) & (code < 127), code - 31).otherwise(0)
+def _codes(text: Column) -> Column:
+    """1 to 95 for each printable ASCII character, 0 for any other."""
+    code = lambda c: F.when((F.ascii(c) >= 32) & (F.ascii(c) < 127), F.ascii(c) - 31).otherwise(0)
+    return F.transform(F.split(text, ""), code)
 
 
 def train(samples: DataFrame) -> list[float]:
     """The log-likelihood ratio of each pair of codes; what reaches the driver is CODES squared numbers."""
-    pairs = samples.where(F.length("text") > 1).select("label", "text", F.explode(F.expr("sequence(1, length(text) - 1)")).alias("at"))
-    first, second = _code(F.col("text"), F.col("at")), _code(F.col("text"), F.col("at") + 1)
-    counts = pairs.groupBy(first.alias("a"), second.alias("b")).agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
+    codes = samples.where(F.length("text") > 1).select("label", _codes(F.col("text")).alias("codes"))
+    pairs = codes.select("label", "codes", F.explode(F.sequence(F.lit(0), F.size("codes") - 2)).alias("at"))
+    counts = pairs.groupBy(F.get("codes", F.col("at")).alias("a"), F.get("codes", F.col("at") + 1).alias("b")).agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
     from pyspark.sql import Window as W
 
     w = W.partitionBy("a")
@@ -94,27 +94,32 @@ def train(samples: DataFrame) -> list[float]:
     return list(row.r)
 
 
+def _ratios(text: Column, model: list[float]) -> Column:
+    """The ratio of each pair of neighbouring characters; characters are looked up once each."""
+    ratios = F.from_json(F.lit(json.dumps(model)), "array<double>")
+    pairs = lambda codes: F.transform(F.slice(codes, F.lit(2), F.greatest(F.size(codes) - 1, F.lit(0))), lambda c, i: F.get(ratios, F.get(codes, i) * CODES + c))
+    return spans._let(_codes(text), pairs)
+
+
 def mean_ratio(text: Column, model: list[float]) -> Column:
     """The mean ratio over the pairs of characters of ``text``."""
-    ratios = F.from_json(F.lit(json.dumps(model)), "array<double>")
-    steps = F.sequence(F.lit(1), F.length(text) - 1)
-    total = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.get(ratios, _code(text, i) * CODES + _code(text, i + 1)))
-    return F.when(F.length(text) > 1, total / (F.length(text) - 1)).otherwise(0.0)
+    mean = lambda r: F.aggregate(r, F.lit(0.0), lambda acc, x: acc + x) / F.size(r)
+    return F.when(F.length(text) > 1, spans._let(_ratios(text, model), mean)).otherwise(0.0)
 
 
 def best_window(text: Column, model: list[float]) -> Column:
     """The greatest mean ratio over the windows of LEAST characters of ``text``."""
-    ratios = F.from_json(F.lit(json.dumps(model)), "array<double>")
     n = LEAST - 1
-    steps = F.sequence(F.lit(1), F.length(text) - 1)
-    ratio = lambda i: F.get(ratios, _code(text, i) * CODES + _code(text, i + 1))
 
-    def step(acc: Column, i: Column) -> Column:
-        now = acc["sum"] + ratio(i) - F.when(i > n, ratio(i - n)).otherwise(0.0)
-        return F.struct(now.alias("sum"), F.when(i >= n, F.greatest(acc["best"], now)).otherwise(acc["best"]).alias("best"))
+    def best(r: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            now = acc["sum"] + F.get(r, i) - F.when(i >= n, F.get(r, i - n)).otherwise(0.0)
+            return F.struct(now.alias("sum"), F.when(i >= n - 1, F.greatest(acc["best"], now)).otherwise(acc["best"]).alias("best"))
+
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1e9).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(r) - 1), start, step, lambda acc: acc["best"] / n)
 
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1e9).alias("best"))
-    return F.when(F.length(text) >= LEAST, F.aggregate(steps, start, step, lambda acc: acc["best"] / n)).otherwise(-1e9)
+    return F.when(F.length(text) >= LEAST, spans._let(_ratios(text, model), best)).otherwise(-1e9)
 
 
 def _pieces(span: Column, gaps: Column) -> Column:
@@ -140,7 +145,8 @@ def _outside(span: Column, base: Column) -> Column:
 
 def _parts(span: Column) -> Column:
     """The parts of ``span`` of LEAST characters between separators."""
-    places = F.filter(F.sequence(F.lit(1), F.length(span["value"])), lambda i: F.instr(F.lit(SEPARATORS), F.substring(span["value"], i, F.lit(1))) > 0)
+    chars = F.split(span["value"], "")
+    places = F.filter(F.transform(chars, lambda c, i: F.when(F.instr(F.lit(SEPARATORS), c) > 0, i + 1)), lambda i: i.isNotNull())
     return _pieces(span, F.transform(places, lambda i: F.struct((span["start"] + i - 1).alias("start"), (span["start"] + i).alias("end"))))
 
 
