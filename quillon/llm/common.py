@@ -207,7 +207,7 @@ class WordCache:
 
     def __init__(self, encode, keep: int = KEEP):
         self.encode, self.keep = encode, keep
-        self.one = getattr(encode, "one", None)
+        self.one, self.special = getattr(encode, "one", None), getattr(encode, "special", None)
         self.known: dict[str, bytes] = _Known(encode) if self.one else {}
 
     def spaced(self, texts: list[str]) -> Iterator[bytes]:
@@ -218,13 +218,19 @@ class WordCache:
         """
         cut = []
         for text in texts:
-            head, tail = (text, []) if _UNSAFE_CUT.search(text) else ((parts := text.split(" "))[0], parts[1:])
+            head, tail = (text, []) if _UNSAFE_CUT.search(text) or self.special and self.special.search(text) else ((parts := text.split(" "))[0], parts[1:])
             cut.append(["\0 " + head, *tail])
         return self._joined(cut, lambda w: w[2:] if w.startswith("\0 ") else " " + w, " ")
 
     def bare(self, texts: list[str]) -> Iterator[bytes]:
         """The encodings of a few texts where case and white space are dropped."""
-        return self._joined([(text if _PLAIN.search(text) else text.lower()).replace("\n", " ").split(" ") for text in texts], lambda w: w if _PLAIN.search(w) else w.lower(), "")
+        cut = []
+        for text in texts:
+            if self.special and self.special.search(text):
+                cut.append(["\0 " + text])
+            else:
+                cut.append((text if _PLAIN.search(text) else text.lower()).replace("\n", " ").split(" "))
+        return self._joined(cut, lambda w: w[2:] if w.startswith("\0 ") else w if _PLAIN.search(w) else w.lower(), "")
 
     def _joined(self, cut: list[list[str]], whole: Callable[[str], str], lead: str) -> Iterator[bytes]:
         known = self.known
@@ -270,9 +276,10 @@ _PLAIN = re.compile("[^\0-\u012f]")
 
 
 class LibraryEncoder:
-    """Strings to ids (as bytes) by the tokenizers library, special strings being ordinary text.
+    """Strings to ids (as bytes) by the tokenizers library as it is, without added special tokens.
 
-    Plain strings are cut by the tokenizer's own pattern here, and its model takes each part;
+    A text that holds one of the vocabulary's special strings goes through the whole library,
+    which gives that string its own id. Plain strings are cut by the tokenizer's own pattern here, and its model takes each part;
     words are remembered. All else goes through the whole library. Strings for a lower-casing
     vocabulary come lower-cased. ``kind``: the array type of the ids.
     """
@@ -288,7 +295,8 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        names = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, names))) if names else None
         self.model, self.chars, self.keep, self.kind = self.tokenizer.model, _byte_chars(), keep, kind
         self.words: dict[str, bytes] = {}
         self.shown = _Shown(self.chars)
@@ -315,7 +323,7 @@ class LibraryEncoder:
     def one(self, text: str) -> bytes:
         if (text[1:] if text[:1] == " " else text).isalpha() and not _PLAIN.search(text):
             return self._word(text)
-        if not _PLAIN.search(text):
+        if not _PLAIN.search(text) and not (self.special and self.special.search(text)):
             return b"".join(map(self._word, self.cut(text)))
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 

@@ -12,7 +12,6 @@ from quillon.llm import bpe_tables, common, packing, token_files
 
 def reference_ids(name, texts):
     tokenizer = Tokenizer.from_file(P.path(name))
-    tokenizer.encode_special_tokens = True
     return [array("I", e.ids).tolist() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -97,3 +96,10 @@ def test_packing_holds_every_id_once(docs):
 
 def test_shared_dir_is_read_from_the_session(spark):
     assert common.shared_dir(spark)
+
+
+def test_special_strings_are_as_in_the_library():
+    texts = ["a <|endoftext|> b", "x<|endoftext|>Y z", "<|startoftext|> Hello <|ENDOFTEXT|>", "<|end of text|>", "plain Words"]
+    for name, way in (("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "bare")):
+        cache = common.WordCache(common.LibraryEncoder(P.path(name)))
+        assert [array("I", x).tolist() for x in getattr(cache, way)(texts)] == reference_ids(name, texts)
