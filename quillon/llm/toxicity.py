@@ -6,14 +6,16 @@ replaced characters stay close to the plain ones. Landmarks span the feature spa
 a linear machine with squared hinge loss is trained there, and since the kernel is a product of
 explicit subsequence weights, the machine collapses into one weight per subsequence.
 
-Labels belong to texts, so words are labelled in turns: at first those with runs of characters
-that only toxic texts have, in more texts than chance would give, then further words of toxic texts
-that the machine finds; other words of clean texts are negative, the most toxic-looking ones
-first. A text's score is a logistic function of its worst words, fitted on the same bounded
-sample of labelled texts, near copies left out.
-
-Null and empty texts have no words and get the score of a clean text. Repeated rows give
-repeated results; without labels every score is 0.
+Labels belong to texts, and the machine is trained on them: a text's vector is the mean of the
+kernel vectors of its worst words, as the machine of the turn before ranks them, and its label is
+the one given. A toxic text has ordinary words too, so the first ranking must come from somewhere:
+it is that of a machine for words, whose first labels are mined from runs of characters that only
+toxic texts have, in more texts than chance would give. A text's score is a logistic function of
+its worst words' margins, fitted on the same bounded sample of labelled texts, near copies left out.
+
+Null and empty texts have no words and get the score of a clean text; a text may be as long as a
+row can be. Repeated rows give repeated results, a null id is kept and takes no label, further
+columns are kept; without labels, as for an empty table of them, every score is 0.
 """
 
 from __future__ import annotations
@@ -36,9 +38,10 @@ GAPS = ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2))
 CODES = 38
 LONGEST = 24
 LANDMARKS = 180
-#: Labelled texts of each label that the machine is fitted on, and their greatest length.
+#: Labelled texts of each label that the machine is fitted on, at most.
 SAMPLE = {1: 700, 0: 1400}
-SAMPLE_CHARS = 10_000
+#: How often texts are ranked anew by the machine that they trained.
+TURNS = 2
 PREDICT = 0.7
 #: How many of a text's worst words its score looks at.
 WORST = 4
@@ -93,15 +96,16 @@ def products(words: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 def vectors(words: list[str]) -> np.ndarray:
-    """Explicit normalised subsequence weights of short words, one column each."""
-    grid, lengths, owner = coded([w[: LONGEST // 2] for w in words])
+    """Explicit normalised subsequence weights of words, one column each: the mean of a long word's pieces."""
+    grid, lengths, owner = coded(words)
     out = np.zeros((CODES**3, len(words)))
+    share = 1 / (_norms(lengths) * np.bincount(owner, minlength=len(words))[owner])
     for a, b in GAPS:
         for j in range(LONGEST - a - b):
             live = np.flatnonzero(grid[:, j + a + b])
             index = (grid[live, j] * CODES + grid[live, j + a]) * CODES + grid[live, j + a + b]
-            np.add.at(out, (index, owner[live]), DECAY ** (a + b - 2))
-    return out / _norms(lengths)[None, :]
+            np.add.at(out, (index, owner[live]), DECAY ** (a + b - 2) * share[live])
+    return out
 
 
 def words_of(text: str) -> set[str]:
@@ -230,10 +234,10 @@ def _bad_words(bags: list[tuple[set[str], int]], share: float) -> set[str]:
     return bad
 
 
-def train(texts: list[tuple[str, int]], rounds: int = 3, seed: int = 7) -> Model | None:
-    """A model from labelled texts; None without both labels."""
+def train(texts: Iterable[tuple[str | Iterable[str], int]], rounds: int = 3, seed: int = 7) -> Model | None:
+    """A model from labelled texts, or labelled bags of their words; None without both labels."""
     rng = np.random.default_rng(seed)
-    bags = _unlike([(words_of(t), y) for t, y in texts])
+    bags = _unlike([(words_of(t) if isinstance(t, str) else set(t), y) for t, y in texts])
     toxic, clean = Counter(w for b, y in bags if y for w in b), Counter(w for b, y in bags if not y for w in b)
     if not any(y for _, y in bags) or not clean:
         return None
@@ -252,7 +256,8 @@ def train(texts: list[tuple[str, int]], rounds: int = 3, seed: int = 7) -> Model
         root = axes[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
         words = bad + sample
         labels = np.array([1.0] * len(bad) + [-1.0] * len(sample))
-        w, bias = fit_machine(products(words, basis) @ root, labels)
+        known_words = products(words, basis) @ root
+        w, bias = fit_machine(known_words, labels)
         model = Model(basis @ (root @ w), bias, np.zeros(WORST + 1))
         hard = model.margins(negatives)
         sample = sample + [negatives[i] for i in np.argsort(-hard)[:2000]]
@@ -260,6 +265,20 @@ def train(texts: list[tuple[str, int]], rounds: int = 3, seed: int = 7) -> Model
         known = sorted(w for w, n in toxic.items() if n >= 3 and n > 3 * clean[w])
         more |= {w for w, m in zip(known, model.margins(known), strict=True) if m > 0.3} if known else set()
         bad = sorted(more)
+    # The texts themselves, by the kernel vectors of their worst words.
+    said = np.array([1.0 if y else -1.0 for _, y in bags])
+    for _ in range(TURNS):
+        worst = []
+        for bag, _ in bags:
+            words = sorted(bag)
+            margins = model.margins(words)
+            worst.append([words[i] for i in np.argsort(-margins, kind="stable")[:WORST]])
+        flat = sorted({w for ws in worst for w in ws})
+        place = {w: i for i, w in enumerate(flat)}
+        features = products(flat, basis) @ root
+        pooled = np.array([features[[place[w] for w in ws]].mean(axis=0) if ws else np.zeros(features.shape[1]) for ws in worst])
+        w, bias = fit_machine(np.vstack([known_words, pooled]), np.concatenate([labels, said]))
+        model = Model(basis @ (root @ w), bias, np.zeros(WORST + 1))
     x = np.array([[*_worst(model.margins(sorted(b))), 1.0] for b, _ in bags])
     y = np.array([float(y) for _, y in bags])
     curve = np.zeros(WORST + 1)
@@ -271,20 +290,25 @@ def train(texts: list[tuple[str, int]], rounds: int = 3, seed: int = 7) -> Model
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """At most SAMPLE texts of each label, by the order of a hash of their id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[tuple[str, ...], int]]:
+    """The words and label of at most SAMPLE texts of each label, by the order of a hash of their id; texts are read whole."""
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    short = docs.where(F.length("text") <= SAMPLE_CHARS)
+    known = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     picked = None
     for label, most in SAMPLE.items():
-        some = labels.where(F.col("toxic") == label).join(short.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        some = labels.where(F.col("toxic") == label).join(known.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = some if picked is None else picked.union(some)
     ids = {r.doc_id: r.toxic for r in picked.collect()}
     if not ids:
         return []
     chosen = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, toxic int")
-    rows = short.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    return sorted((r.text, r.toxic) for r in rows)
+    rows = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for text, toxic in common.arrow_rows(batches, "text", "toxic"):
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(words_of(text))], pa.list_(pa.string())), pa.array([toxic], pa.int32())], ["words", "toxic"])
+
+    return sorted((tuple(r.words), r.toxic) for r in rows.mapInArrow(run, "words array<string>, toxic int").collect())
 
 
 def score(df: DataFrame, model: Model | None, column: str = "toxic_score") -> DataFrame:

@@ -148,8 +148,8 @@ def test_toxicity_on_held_out_texts(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     toxic = [r.predicted for r in held if truth[r.doc_id] == 1]
     clean = [r.predicted for r in held if truth[r.doc_id] == 0]
-    # The insults of some languages here are made of common syllables; few of those are found (see the README).
-    assert sum(toxic) / len(toxic) > 0.45 and sum(clean) / len(clean) < 0.01
+    # The insults of some languages here are made of common syllables; not all of those are found (see the README).
+    assert sum(toxic) / len(toxic) > 0.8 and sum(clean) / len(clean) < 0.01
 
 
 def test_toxicity_edges(spark, docs):
