@@ -9,7 +9,8 @@ doubled and ``<|`` becomes ``<\\|``, so no control string can occur there and no
 
 Only DataFrame functions are used. Rows of a conversation are ordered by turn, then role and
 text (ties, repeated rows); null roles and texts count as empty; a null conv_id is one
-conversation. Further columns are ignored.
+conversation. Further columns are ignored; an empty table gives no rows. A conversation is one row,
+so it must fit into a task, with its prefixes: the output grows with the square of its turns.
 """
 
 from __future__ import annotations
