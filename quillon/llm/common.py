@@ -151,7 +151,7 @@ class Emitter:
 
 
 #: Words that a cache remembers: a worker's memory is bounded by it.
-KEEP = 500_000
+KEEP = 1_000_000
 #: Longer words are encoded each time they occur.
 WORD_CHARS = 1000
 
@@ -172,18 +172,10 @@ class _Known(dict):
 
     def __init__(self, encode: LibraryEncoder):
         self.one, self.letters, self.whole, self.lead = encode.one, encode.letters, str, ""
-        self.before: dict[str, bytes] = {}
         self.marks = {mark: encode.one(mark) for mark in _MARKS}
 
-    def turn(self) -> None:
-        """Start anew, with what was known so far to look words up in."""
-        self.before = dict(self)
-        self.clear()
-
     def __missing__(self, word: str) -> bytes:
-        if (found := self.before.get(word)) is not None:
-            pass
-        elif word.isalpha() and not _PLAIN.search(word):
+        if word.isalpha() and not _PLAIN.search(word):
             found = self.letters(self.lead, word if self.lead else word.lower())
         elif word[-1:] in _MARKS and word[:-1].isalpha() and not _PLAIN.search(word):
             found = self[word[:-1]] + self.marks[word[-1]]
@@ -201,8 +193,7 @@ class WordCache:
     for a single string. A text is cut before
     spaces that start a new pre-token of the byte-level pattern, so the joined encodings are
     those of the whole text; where a cut isn't safe, the whole text is encoded at once. At
-    most ``keep`` words are remembered (twice as many with ``one``, where words that are still
-    in use outlive a turn), and those of the block at hand.
+    most ``keep`` words are remembered, and those of the block at hand.
     """
 
     def __init__(self, encode, keep: int = KEEP):
@@ -235,7 +226,7 @@ class WordCache:
     def _joined(self, cut: list[list[str]], whole: Callable[[str], str], lead: str) -> Iterator[bytes]:
         known = self.known
         if len(known) > self.keep:
-            known.turn() if self.one else known.clear()
+            known.clear()
         if self.one:
             known.whole, known.lead = whole, lead
             for words in cut:
@@ -284,7 +275,7 @@ class LibraryEncoder:
     vocabulary come lower-cased. ``kind``: the array type of the ids.
     """
 
-    def __init__(self, path: str, keep: int = KEEP, kind: str = "I"):
+    def __init__(self, path: str, keep: int = KEEP // 2, kind: str = "I"):
         import json
         import os
 

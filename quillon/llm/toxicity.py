@@ -328,7 +328,7 @@ def score(df: DataFrame, model: Model | None, column: str = "toxic_score") -> Da
                 if own is None:
                     scores += [0.0] * len(bags)
                     continue
-                if len(known) > 2 * common.KEEP:
+                if len(known) > common.KEEP:
                     known.clear()
                 new = sorted({w for b in bags for w in b if w not in known})
                 for at in range(0, len(new), 20_000):
