@@ -107,6 +107,8 @@ class Codec:
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
+        # Whether the pattern takes plain letters with the space before them as one match, and a mark behind them as the next.
+        self.plain = all(self.split(w) == [w] and self.split(f"{w}{m}") == [w, m] for w in ("word", " Word") for m in common._MARKS)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -178,15 +180,26 @@ class Codec:
             ids, ends = more[right[0] :], more_ends[right[0] :]
         return np.concatenate([*out, ids]).astype("<u4").tobytes()
 
+    def _cut(self, piece: str) -> list[str]:
+        """The matches of the pattern in a piece."""
+        if self.plain and piece.isascii():
+            body = piece[1:] if piece[:1] == " " else piece
+            if body.isalpha():
+                return [piece]
+            if body[-1:] in common._MARKS and body[:-1].isalpha():
+                return [piece[:-1], piece[-1]]
+        return self.split(piece)
+
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece: each match of the pattern is encoded separately."""
-        cut = [self.split(p) for p in pieces]
+        cut = list(map(self._cut, pieces))
         new = list(dict.fromkeys(w for words in cut for w in words if w not in self.words))
         coded = [w.encode() for w in new]
         short = [i for i, w in enumerate(coded) if len(w) <= LONG]
         self.words.update(zip((new[i] for i in short), self.contract_all([coded[i] for i in short]), strict=True))
         long = {w: self.contract_long(x) for w, x in zip(new, coded, strict=True) if len(x) > LONG}
-        out = [b"".join(long[w] if w in long else self.words[w] for w in words) for words in cut]
+        look = (lambda w: long[w] if w in long else self.words[w]) if long else self.words.__getitem__
+        out = [b"".join(map(look, words)) for words in cut]
         if len(self.words) > self.cache.keep:
             self.words.clear()
         return out
