@@ -96,19 +96,37 @@ VIEWS: dict[str, tuple[Callable[[dict[str, DataFrame]], DataFrame], str]] = {
 }
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The cluster's tables as DataFrames."""
+#: Views that preemption reads, over the tasks it may move and those that stay where they are.
+PREEMPTION = {f"{name}_preemption": VIEWS[name] for name in ("cluster_spare_capacity", "cluster_allowed_nodes", "cluster_tolerating", "cluster_selector_matches", "cluster_peers_pending", "cluster_peers_placed", "cluster_ports_pending", "cluster_ports_placed", "cluster_topology_channels", "cluster_spread_bounds")}
+
+
+def load(spark: SparkSession, sf_dir: str, preemption: bool = False) -> dict[str, DataFrame]:
+    """The cluster's tables as DataFrames; with ``preemption``, ``chosen`` holds what may move beside the batch."""
     tables.register(spark, sf_dir)
     found = {name: spark.sql(text) for name, text in BASE.items() if name not in ("waiting", "chosen", "fixed")}
     found["chosen"] = cluster.batch(cluster.pending(found["tasks"], NOW), LIMIT)
     found["fixed"] = cluster.placed(found["tasks"])
+    if preemption:
+        batch = found["chosen"]
+        found["chosen"] = cluster.preemption_free(found["tasks"], batch)
+        found["tasks"] = found["fixed"] = cluster.preemption_fixed(found["tasks"], batch)
     return found
 
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    if name in PREEMPTION:
+        return lambda spark, sf_dir: PREEMPTION[name][0](load(spark, sf_dir, preemption=True))
     return lambda spark, sf_dir: VIEWS[name][0](load(spark, sf_dir))
 
 
 def sql(name: str) -> str:
     """The whole DuckDB query of a view."""
-    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in BASE.items()) + " " + VIEWS[name][1]
+    base, text = BASE, (VIEWS | PREEMPTION)[name][1]
+    if name in PREEMPTION:
+        top = "(SELECT max(priority) FROM batch)"
+        base = {k: v for k, v in BASE.items() if k not in ("chosen", "fixed")} | {
+            "batch": BASE["chosen"],
+            "chosen": f"SELECT * FROM batch UNION SELECT * FROM tasks WHERE node IS NOT NULL AND priority < {top}",
+            "fixed": f"SELECT * FROM tasks WHERE node IS NOT NULL AND priority >= {top}",
+        }
+    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in base.items()) + " " + text

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Mapping
@@ -85,7 +86,8 @@ class Model:
     def build(cls, spark: SparkSession, constraints: list[str], keys: Mapping[str, Keys] | None = None, backend: Backend = default_backend, options: Options = Options(), strict: bool = True) -> Model:
         statements = parse_all(constraints, strict)
         keys = {t.lower(): k for t, k in (keys or {}).items()}
-        read = [t for text in constraints for t in tables_read(text) if t not in statements]
+        views = {s.name for s in statements.values() if s.kind == VIEW}
+        read = [t for text in constraints for t in tables_read(text) if t not in views]
         tables = list(dict.fromkeys(read))
         tables += [parent for t in list(tables) for parent, _ in (keys[t].foreign.values() if t in keys else ()) if parent not in tables]
         tables = list(dict.fromkeys(tables))
@@ -101,16 +103,19 @@ class Model:
         return {t.upper(): ground.filled(t.lower(), chosen) for t in names}
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Sets the folder that the session names for checkpoints, a temporary one where it names none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+
+
 class Grounding:
     """One solve: the fetched tables, the ground constraints, and the assignment."""
 
     def __init__(self, model: Model, fetch: Callable[[str], DataFrame]):
         self.model, self.spark = model, model.spark
         self.mark = uuid.uuid4().hex[:8]
-        if self.spark.sparkContext.getCheckpointDir() is None:
-            import tempfile
-
-            self.spark.sparkContext.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        ensure_checkpoints(self.spark)
         self.frames: dict[str, DataFrame] = {}
         self.decisions: dict[str, list[str]] = {}
         self.views: dict[str, str] = {}

@@ -23,7 +23,7 @@ NOWHERE = -1
 POLICIES: dict[str, list[str]] = {
     "preemption": [
         f"create constraint stay_or_leave as select task from placements where current is not null check controllable__node = current or controllable__node = {NOWHERE}",
-        f"create constraint keep_priority as select * from placements where current is not null maximize priority * (controllable__node <> {NOWHERE})",
+        f"create constraint keep_priority as select * from placements maximize priority * (controllable__node <> {NOWHERE})",
     ],
     "somewhere": [f"create constraint somewhere as select * from placements maximize controllable__node <> {NOWHERE}"],
     "domain": [f"create constraint domain as select task from placements check controllable__node in (select node from spare) or controllable__node = {NOWHERE}"],
@@ -59,7 +59,7 @@ _CHANNELS = "SELECT DISTINCT grp, task, subject AS node, key, value, max_skew FR
 #: query: (policy, statement, DuckDB SQL over the cluster's tables).
 QUERIES: dict[str, tuple[str, str, str]] = {
     "policy_preemption": ("preemption", "stay_or_leave", f"SELECT task FROM placements WHERE current IS NOT NULL AND NOT (controllable__node = current OR controllable__node = {NOWHERE})"),
-    "policy_preemption_value": ("preemption", "keep_priority", f"SELECT CAST(sum(CASE WHEN controllable__node <> {NOWHERE} THEN priority ELSE 0 END) AS bigint) AS objective FROM placements WHERE current IS NOT NULL"),
+    "policy_preemption_value": ("preemption", "keep_priority", f"SELECT CAST(sum(CASE WHEN controllable__node <> {NOWHERE} THEN priority ELSE 0 END) AS bigint) AS objective FROM placements"),
     "policy_somewhere": ("somewhere", "somewhere", f"SELECT CAST(count(*) FILTER (controllable__node <> {NOWHERE}) AS bigint) AS objective FROM placements"),
     "policy_domain": ("domain", "domain", f"SELECT task FROM placements WHERE controllable__node <> {NOWHERE} AND controllable__node NOT IN (SELECT node FROM spare)"),
     "policy_selector": ("selector", "selector", f"SELECT task FROM placements p WHERE task IN (SELECT task FROM terms) AND controllable__node <> {NOWHERE} AND NOT EXISTS (SELECT 1 FROM selected s WHERE s.task = p.task AND s.node = p.controllable__node)"),

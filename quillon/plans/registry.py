@@ -37,8 +37,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _by_sql(text) for name, text in catalogue.SPARK.items()} | {name: _by_program(name) for name in programs.PROGRAMS} | {name: cluster_views.query(name) for name in cluster_views.VIEWS} | {name: policies.query(name) for name in policies.QUERIES} | {name: f for name, (f, _) in (solved.QUERIES | workload.QUERIES).items()}
+    return {name: _by_sql(text) for name, text in catalogue.SPARK.items()} | {name: _by_program(name) for name in programs.PROGRAMS} | {name: cluster_views.query(name) for name in cluster_views.VIEWS | cluster_views.PREEMPTION} | {name: policies.query(name) for name in policies.QUERIES} | {name: f for name, (f, _) in (solved.QUERIES | workload.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(catalogue.DUCKDB) | {name: p[3] for name, p in programs.PROGRAMS.items()} | {name: cluster_views.sql(name) for name in cluster_views.VIEWS} | {name: policies.sql(name) for name in policies.QUERIES} | {name: text for name, (_, text) in (solved.QUERIES | workload.QUERIES).items() if text}
+    return dict(catalogue.DUCKDB) | {name: p[3] for name, p in programs.PROGRAMS.items()} | {name: cluster_views.sql(name) for name in cluster_views.VIEWS | cluster_views.PREEMPTION} | {name: policies.sql(name) for name in policies.QUERIES} | {name: text for name, (_, text) in (solved.QUERIES | workload.QUERIES).items() if text}

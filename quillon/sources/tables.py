@@ -42,7 +42,14 @@ def build_trace(df: DataFrame) -> DataFrame:
     return df.where("start <> end").groupBy("sub", "dep", "start", "end", "cpu", "mem").agg(F.count("*").alias("n"))
 
 
-def replay(df: DataFrame, time_scale: int, cpu_scale: int, mem_scale: int, cutoff: int) -> DataFrame:
-    """A trace scaled down, up to the cut-off."""
-    scaled = df.withColumns({"start": F.expr(f"start div {time_scale}"), "end": F.expr(f"end div {time_scale}"), "cpu": F.col("cpu") / cpu_scale, "mem": F.col("mem") / mem_scale})
-    return scaled.where(F.col("start") <= cutoff)
+def replay(df: DataFrame, time_scale: int, cpu_scale: float, mem_scale: float, cutoff: int, affinity: int = 0, nodes: int = 0, lifetime: int = 0, seed: int = 1) -> DataFrame:
+    """A trace scaled down, up to the cut-off in its own seconds.
+
+    ``together``: ``affinity`` in a hundred of the deployments with fewer tasks than ``nodes`` want
+    their tasks on one node; chosen by a hash of the row and the seed, so a replay repeats.
+    ``ends``: when a deployment is deleted, ``lifetime`` seconds after its start.
+    """
+    drawn = F.pmod(F.xxhash64(F.lit(seed), *(F.col(c) for c in ("sub", "dep", "start", "cpu", "mem", "n"))), F.lit(100)) < affinity
+    kept = df.where(F.col("start") <= cutoff).withColumn("together", (F.col("n") < nodes) & drawn)
+    scaled = kept.withColumns({"start": F.expr(f"start div {time_scale}"), "end": F.expr(f"end div {time_scale}"), "cpu": F.col("cpu") / cpu_scale, "mem": F.col("mem") / mem_scale})
+    return scaled.withColumn("ends", F.col("start") + lifetime)

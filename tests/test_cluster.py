@@ -10,7 +10,7 @@ def rows(columns, found):
     return sorted((tuple(r[c] for c in columns) for r in found), key=str)
 
 
-@pytest.mark.parametrize("name", cluster_views.VIEWS)
+@pytest.mark.parametrize("name", [*cluster_views.VIEWS, *cluster_views.PREEMPTION])
 def test_view_agrees_with_duckdb(spark, sf, name):
     con = duckdb.connect()
     for table in tables.TABLES:

@@ -105,7 +105,7 @@ def test_trace_and_json(spark, tmp_path):
     (tmp_path / "t.txt").write_text("1040 12378 0 120 8 14 1\n1163 18214 60 300 >1 1.75 1\n\n2709 18693 120 120 4 7 2\n")
     trace = tables.read_trace(spark, str(tmp_path / "t.txt"))
     assert trace.count() == 3 and tables.build_trace(trace).count() == 2
-    assert tables.replay(trace, 60, 1, 1, 1).count() == 2
+    assert tables.replay(trace, 60, 1, 1, 60).count() == 2 and tables.replay(trace, 60, 1, 1, 1).count() == 1
     df = spark.createDataFrame([(1, [1, 2], None), (2, None, "x")], "a long, b array<long>, c string")
     tables.dump_json(df, str(tmp_path / "j"))
     assert sorted(tables.load_json(spark, df.schema, str(tmp_path / "j")).collect()) == sorted(df.collect())
