@@ -42,3 +42,29 @@ def test_largest_breaks_ties_by_node(spark):
     spare = spark.createDataFrame([(n, "cpu", n // 3) for n in range(200)] + [(5, "gpu", 1)], "node int, resource string, capacity long")
     best = cluster.largest(spare, 4)
     assert rows(["node", "resource", "capacity"], best.collect()) == [(195, "cpu", 65), (196, "cpu", 65), (198, "cpu", 66), (199, "cpu", 66), (5, "gpu", 1)]
+
+
+def shuffled(spark, df):
+    """The rows that ``df`` returns, and how many rows its stages wrote for others when nothing is broadcast, as at size."""
+    sc = spark.sparkContext
+    store, empty = sc._jsc.sc().statusStore(), sc._jvm.java.util.ArrayList()
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(empty, False, False, sc._gateway.new_array(sc._jvm.double, 0), empty)
+        return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df.collect(), written() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_port_pairs_are_made_once_and_not_shuffled(spark):
+    tasks = spark.createDataFrame([(t, None) for t in range(600)], "task int, node int")
+    ports = spark.createDataFrame([(t, ip, port, "TCP") for t in range(600) for ip, port in (("0.0.0.0", 80), ("10.0.0.1", 80), ("10.0.0.1", 443))], "task int, ip string, port int, protocol string")
+    found, moved = shuffled(spark, cluster.port_conflicts(tasks, tasks, ports))
+    assert rows(["task", "other"], found) == sorted(((a, b) for a in range(600) for b in range(600) if a != b), key=str)
+    assert moved < 60_000
