@@ -68,3 +68,13 @@ def test_port_pairs_are_made_once_and_not_shuffled(spark):
     found, moved = shuffled(spark, cluster.port_conflicts(tasks, tasks, ports))
     assert rows(["task", "other"], found) == sorted(((a, b) for a in range(600) for b in range(600) if a != b), key=str)
     assert moved < 60_000
+
+
+def test_ports_of_placed_tasks_are_met_once_and_not_shuffled(spark):
+    chosen = spark.createDataFrame([(t, None) for t in range(400)], "task int, node int")
+    placed = spark.createDataFrame([(t, t % 7) for t in range(300, 900)] * 2, "task int, node int")
+    ports = spark.createDataFrame([(t, "0.0.0.0" if t % 3 == 0 else f"10.0.0.{t % 2}", 80, "TCP") for t in range(900)] + [(1, None, 80, "TCP"), (2, "0.0.0.0", None, "TCP"), (3, "0.0.0.0", 80, None)], "task int, ip string, port int, protocol string")
+    found, moved = shuffled(spark, cluster.port_conflicts(chosen, placed, ports))
+    want = [(a, b, b % 7) for a in range(400) for b in range(300, 900) if a != b and (a % 3 == 0 or b % 3 == 0 or a % 2 == b % 2)]
+    assert rows(["task", "other", "node"], found) == sorted(want, key=str)
+    assert moved < len(want) / 5
