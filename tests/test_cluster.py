@@ -78,3 +78,12 @@ def test_ports_of_placed_tasks_are_met_once_and_not_shuffled(spark):
     want = [(a, b, b % 7) for a in range(400) for b in range(300, 900) if a != b and (a % 3 == 0 or b % 3 == 0 or a % 2 == b % 2)]
     assert rows(["task", "other", "node"], found) == sorted(want, key=str)
     assert moved < len(want) / 5
+
+
+def test_tolerating_pairs_are_not_shuffled(spark):
+    taints = spark.createDataFrame([(n, "k", n % 2, "E") for n in range(300)] + [(n, "j", 1, "F") for n in range(0, 300, 3)], "node int, key string, value int, effect string")
+    tolerations = spark.createDataFrame([(t, "k", "Equal", t % 2, None) for t in range(300)] + [(t, "j", "Exists", None, "F") for t in range(0, 300, 2)], "task int, key string, op string, value int, effect string")
+    found, moved = shuffled(spark, cluster.tolerating(tolerations.select("task").distinct(), tolerations, taints))
+    want = [(t, n) for t in range(300) for n in range(300) if t % 2 == n % 2 and (n % 3 or t % 2 == 0)]
+    assert rows(["task", "node"], found) == sorted(want, key=str)
+    assert moved < len(want) / 5
