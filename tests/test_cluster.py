@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import cluster
 from quillon.plans import cluster_views
@@ -87,3 +88,14 @@ def test_tolerating_pairs_are_not_shuffled(spark):
     want = [(t, n) for t in range(300) for n in range(300) if t % 2 == n % 2 and (n % 3 or t % 2 == 0)]
     assert rows(["task", "node"], found) == sorted(want, key=str)
     assert moved < len(want) / 5
+
+
+def test_channels_are_not_shuffled_and_a_large_key_is_dealt_out(spark, monkeypatch):
+    spreads = spark.createDataFrame([(t, g, "zone", 1) for t in range(300) for g in (0, 1)] * 2, "task int, grp int, key string, max_skew int")
+    labels = spark.createDataFrame([(n, "zone", n % 5) for n in range(300)] * 2, "subject int, key string, value int")
+    found, moved = shuffled(spark, cluster.topology_channels(spreads.select("task").distinct(), spreads, labels))
+    assert rows(["grp", "task", "node", "key", "value", "max_skew"], found) == sorted(((g, t, n, "zone", n % 5, 1) for g in (0, 1) for t in range(300) for n in range(300)), key=str)
+    assert moved < len(found) / 5
+    monkeypatch.setattr(cluster, "BLOCK", 50, raising=False)
+    made = cluster.topology_channels(spreads.select("task").distinct(), spreads, labels).groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 1 and sum(r["count"] for r in made) == len(found)
