@@ -81,6 +81,17 @@ def test_ports_of_placed_tasks_are_met_once_and_not_shuffled(spark):
     assert moved < len(want) / 5
 
 
+def test_port_pairs_are_written_small(spark, tmp_path):
+    chosen = spark.createDataFrame([(t * 7, None) for t in range(1500)], "task long, node int")
+    placed = spark.createDataFrame([(t * 7, t * 11 % 997) for t in range(1000, 4000)] + [(-1, None)], "task long, node int")
+    ports = spark.createDataFrame([(t * 7, "0.0.0.0", 80, "TCP") for t in range(4000)] + [(-1, "0.0.0.0", 80, "TCP")], "task long, ip string, port int, protocol string")
+    cluster.port_conflicts(chosen, placed, ports).write.parquet(out := f"{tmp_path}/out")
+    found, want = spark.read.parquet(out), 1500 * 3001 - 500
+    assert (found.count(), found.distinct().count(), found.where("node IS NULL").count()) == (want, want, 1500)
+    assert found.where("other >= 0 AND node <> other div 7 * 11 % 997").count() == 0
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < want * 0.6
+
+
 def test_tolerating_pairs_are_not_shuffled(spark):
     taints = spark.createDataFrame([(n, "k", n % 2, "E") for n in range(300)] + [(n, "j", 1, "F") for n in range(0, 300, 3)], "node int, key string, value int, effect string")
     tolerations = spark.createDataFrame([(t, "k", "Equal", t % 2, None) for t in range(300)] + [(t, "j", "Exists", None, "F") for t in range(0, 300, 2)], "task int, key string, op string, value int, effect string")
