@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -232,7 +233,7 @@ class WordCache:
             for words in cut:
                 yield b"".join(map(known.__getitem__, words))
             return
-        new = list(dict.fromkeys(w for words in cut for w in words if w not in known))
+        new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in known]
         known.update(zip(new, self.encode([whole(w) for w in new]), strict=True))
         for words in cut:
             yield b"".join(map(known.__getitem__, words))
