@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 from quillon.llm import common, near_dup, packing, personal, quality, toxicity
 
+#: Words that packing remembers: the executor's heap has grown in the stages before,
+#: and the workers go on to other stages, so they hold few and only while a task of packing runs.
+PACKING_WORDS = 200_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; empty texts have too few words and go."""
@@ -45,7 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=PACKING_WORDS)
 
 
 STAGES = [

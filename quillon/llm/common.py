@@ -202,6 +202,18 @@ class WordCache:
         self.one, self.special = getattr(encode, "one", None), getattr(encode, "special", None)
         self.known: dict[str, bytes] = _Known(encode) if self.one else {}
 
+    def limit(self, keep: int) -> None:
+        """Remember at most ``keep`` words from now on, and half as many parts of words."""
+        self.keep = keep
+        if isinstance(self.encode, LibraryEncoder):
+            self.encode.keep = keep // 2
+
+    def forget(self) -> None:
+        """Forget all words: their memory goes back to the system."""
+        self.known.clear()
+        if isinstance(self.encode, LibraryEncoder):
+            self.encode.words.clear()
+
     def spaced(self, texts: list[str]) -> Iterator[bytes]:
         """The encodings of a few texts where a space belongs to the word after it.
 
@@ -323,10 +335,11 @@ class LibraryEncoder:
 _CACHES: dict[tuple[str, str], WordCache] = {}
 
 
-def word_cache(path: str, kind: str = "I") -> WordCache:
-    """The worker's cache for the tokenizer file at ``path``; it outlives single tasks."""
+def word_cache(path: str, kind: str = "I", keep: int = KEEP) -> WordCache:
+    """The worker's cache for the tokenizer file at ``path``, of at most ``keep`` words; it outlives single tasks."""
     if (path, kind) not in _CACHES:
         _CACHES[path, kind] = WordCache(LibraryEncoder(path, kind=kind))
+    _CACHES[path, kind].limit(keep)
     return _CACHES[path, kind]
 
 

@@ -107,19 +107,28 @@ def pieces(n: int, capacity: int, longest: int) -> tuple[list[int], list[int]]:
     return [capacity] * full, [tail // parts + (i < tail % parts) for i in range(parts)]
 
 
-def pack(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, tail_piece: int = TAIL_PIECE, pool_windows: int = POOL_WINDOWS) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, tail_piece: int = TAIL_PIECE, pool_windows: int = POOL_WINDOWS, keep: int | None = None) -> DataFrame:
     """One row per piece of each document's ids (``doc_id``, ``text``): where it lies, in which window.
 
-    ``sequence_id`` is the partition's number times 2**33 plus the window's number there.
+    ``sequence_id`` is the partition's number times 2**33 plus the window's number there. A worker
+    remembers ``common.KEEP`` words from task to task; given ``keep``, so many at most, and it
+    forgets them when its task ends, for workers that other operators use too.
     """
-    return common.texts_of(df.select("doc_id", "text")).mapInArrow(_packer(tokenizer, end_id, capacity, tail_piece, pool_windows), DDL)
+    return common.texts_of(df.select("doc_id", "text")).mapInArrow(_packer(tokenizer, end_id, capacity, tail_piece, pool_windows, keep), DDL)
 
 
-def _packer(tokenizer: str, end_id: int, capacity: int, tail_piece: int, pool_windows: int):
+def _packer(tokenizer: str, end_id: int, capacity: int, tail_piece: int, pool_windows: int, keep: int | None = None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = common.word_cache(tokenizer, keep=common.KEEP if keep is None else keep)
+        try:
+            yield from packed(batches, cache)
+        finally:
+            if keep is not None:
+                cache.forget()
+
+    def packed(batches: Iterable[pa.RecordBatch], cache: common.WordCache) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache = common.word_cache(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         out = common.Emitter(SCHEMA)
