@@ -110,3 +110,24 @@ def test_channels_are_not_shuffled_and_a_large_key_is_dealt_out(spark, monkeypat
     monkeypatch.setattr(cluster, "BLOCK", 50, raising=False)
     made = cluster.topology_channels(spreads.select("task").distinct(), spreads, labels).groupBy(F.spark_partition_id()).count().collect()
     assert len(made) > 1 and sum(r["count"] for r in made) == len(found)
+
+
+def test_channels_are_written_small(spark, tmp_path):
+    spreads = spark.createDataFrame([(t * 7, t % 3, "zone", 1 + t % 3) for t in range(3000)], "task long, grp long, key string, max_skew long")
+    labels = spark.createDataFrame([(n * 11, "zone", n * 7919 % 997 % 25) for n in range(3000)], "subject long, key string, value int")
+    cluster.topology_channels(spreads.select("task"), spreads, labels).write.parquet(out := f"{tmp_path}/out")
+    found = spark.read.parquet(out)
+    assert (found.count(), found.distinct().count()) == (9_000_000, 9_000_000)
+    assert found.where("key <> 'zone' OR grp <> task div 7 % 3 OR max_skew <> grp + 1 OR value <> node div 11 * 7919 % 997 % 25").count() == 0
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 9_000_000 * 0.3
+
+
+def test_channels_of_many_strips_come_once(spark, monkeypatch):
+    for name, size in (("BLOCK", 20), ("TILE", 8), ("STRIP", 2), ("RUN", 3)):
+        monkeypatch.setattr(cluster, name, size, raising=False)
+    spreads = [(t, None if t % 4 == 0 else t % 3, (None, "zone", "rack", "none")[t % 4 if t > 9 else 1], t % 2) for t in range(200)]
+    labels = [(n, key, None if n % 5 == 0 else n % 7) for n in range(170) for key in ("zone", "rack", None)[: 1 + n % 3]] + [(n, "few", 1) for n in range(3)]
+    frame = spark.createDataFrame(spreads * 2, "task int, grp int, key string, max_skew int")
+    found = cluster.topology_channels(frame.select("task").distinct(), frame, spark.createDataFrame(labels * 2, "subject int, key string, value int"))
+    want = [(g, t, n, k, v, s) for t, g, k, s in spreads for n, at, v in labels if k is not None and k == at]
+    assert rows(["grp", "task", "node", "key", "value", "max_skew"], found.collect()) == sorted(want, key=str)
